@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import topk_search
+from . import packing, sstable, topk_search
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
+    "op3_token_shards": sstable.op3_token_shards,
+    "op4_packing": packing.op4_packing,
 }
 ORACLE_SQL = {
     "op1_topk_search": topk_search.SQL,
