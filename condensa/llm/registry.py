@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, sstable, topk_search
+from . import html_extract, packing, sstable, topk_search, warc_archive
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
     "op3_token_shards": sstable.op3_token_shards,
     "op4_packing": packing.op4_packing,
+    "op5_warc_archive": warc_archive.op5_warc_archive,
+    "op6_html_extract": html_extract.op6_html_extract,
 }
 ORACLE_SQL = {
     "op1_topk_search": topk_search.SQL,
+    "op5_warc_archive": warc_archive.SQL,
 }
