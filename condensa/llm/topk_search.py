@@ -181,7 +181,7 @@ def topk_search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         left = asked.join(theta, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
         # Lengths fall with the bucket number: those that a query still needs are a prefix.
         reach = F.size(F.filter(limits, lambda b: b * F.col("norm") * (1 + 1e-9) >= F.col("theta")))
-        left = left.withColumn("reach", reach).filter("reach > 0").withColumn("bucket", F.explode(F.sequence(F.lit(1), F.col("reach"))).cast("long")).drop("reach")
+        left = left.withColumn("reach", reach).filter("reach > 0").withColumn("bucket", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reach").cast("long")))).drop("reach")
         found = head.unionByName(matched(left, spread.filter("bucket > 0")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
