@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html_extract, packing, sstable, topk_search, warc_archive
+from . import html_extract, near_dedup, packing, sstable, topk_search, warc_archive
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_token_shards": sstable.op3_token_shards,
     "op4_packing": packing.op4_packing,
     "op5_warc_archive": warc_archive.op5_warc_archive,
