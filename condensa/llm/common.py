@@ -5,6 +5,7 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -75,29 +76,63 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["up"], _POW["down"]
 
 
-def word_spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the lower-cased text and starts and ends of its words: runs of ASCII letters and digits and of all other non-ASCII bytes."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), dtype=np.uint8)
+def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end) of ``raw``."""
+    up, down = _powers(len(raw) + 1)
+    total = np.empty(len(raw) + 1, dtype=np.uint64)
+    total[0] = 0
+    with np.errstate(over="ignore"):
+        np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=total[1:])
+        return mix64((total[end] - total[start]) * down[start])
+
+
+def _encoded(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace")
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words in bytes: runs of ASCII letters and digits and of all non-ASCII bytes."""
     if not len(raw):
-        return raw, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     inside = np.empty(len(raw) + 2, dtype=np.int8)
     inside[0] = inside[-1] = 0
     inside[1:-1] = WORD_BYTE[raw]
     edge = np.diff(inside)
-    return raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return start, hash_ranges(raw, start, end)
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of the words of ``text`` in order."""
-    raw, start, end = word_spans(text)
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw))
-    total = np.empty(len(raw) + 1, dtype=np.uint64)
-    total[0] = 0
-    with np.errstate(over="ignore"):
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-        return mix64((total[end] - total[start]) * down[start])
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the lower-cased words of a whole text, in order."""
+    return _words(np.frombuffer(_encoded(text), dtype=np.uint8))[1]
+
+
+def many_word_hashes(texts: Iterable[str | None], group_bytes: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of whole texts: the word hashes of all, and where each text's words begin (and the end)."""
+    group: list[bytes] = []
+    size = 0
+
+    def done() -> tuple[np.ndarray, np.ndarray]:
+        start, words = _words(np.frombuffer(b"\n".join(group), dtype=np.uint8))
+        at = np.cumsum([0] + [len(x) + 1 for x in group])
+        return words, np.searchsorted(start, at)
+
+    for text in texts:
+        group.append(_encoded(text))
+        size += len(group[-1])
+        if size >= group_bytes:
+            yield done()
+            group, size = [], 0
+    if group:
+        yield done()
+
+
+def many_shingle_hashes(texts: Iterable[str | None], k: int = 5) -> Iterator[np.ndarray]:
+    """``shingle_hashes`` of the words of each text, a group at a time."""
+    for words, at in many_word_hashes(texts):
+        every = shingle_hashes(words, k)
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield every[i : j - k + 1] if j - i >= k else shingle_hashes(words[i:j], k)
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

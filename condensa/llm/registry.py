@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, near_dedup, packing, secret_scan, sstable, topk_search, warc_archive
+from . import decontaminate, html_extract, near_dedup, packing, quality, secret_scan, sstable, topk_search, warc_archive
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_warc_archive": warc_archive.op5_warc_archive,
     "op6_html_extract": html_extract.op6_html_extract,
+    "op7_quality": quality.op7_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
