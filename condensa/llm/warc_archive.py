@@ -67,7 +67,7 @@ def write_archive(records: DataFrame, out: str, id_col: str = "page_id", url_col
     joined.select("record_id", "digest", F.encode(warc, "UTF-8").alias("warc_header"), F.encode(F.lit(_HTTP), "UTF-8").alias("http_header")).write.parquet(f"{out}/headers")
     once = F.row_number().over(Window.partitionBy("digest").orderBy("record_id"))
     stored = own.select(F.sha2("payload", 256).alias("digest"), "record_id", "payload").withColumn("_n", once).filter("_n = 1")
-    stored.select("digest", "payload").write.option("compression", "zstd").parquet(f"{out}/payloads")
+    stored.select("digest", "payload").write.parquet(f"{out}/payloads")
 
 
 def _verified(payloads: DataFrame) -> DataFrame:
