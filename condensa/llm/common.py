@@ -86,7 +86,7 @@ def hash_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return mix64((total[end] - total[start]) * down[start])
 
 
-def _encoded(text: str | None) -> bytes:
+def encoded(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace")
 
 
@@ -104,7 +104,7 @@ def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the lower-cased words of a whole text, in order."""
-    return _words(np.frombuffer(_encoded(text), dtype=np.uint8))[1]
+    return _words(np.frombuffer(encoded(text), dtype=np.uint8))[1]
 
 
 def many_word_hashes(texts: Iterable[str | None], group_bytes: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -118,7 +118,7 @@ def many_word_hashes(texts: Iterable[str | None], group_bytes: int = 1 << 16) ->
         return words, np.searchsorted(start, at)
 
     for text in texts:
-        group.append(_encoded(text))
+        group.append(encoded(text))
         size += len(group[-1])
         if size >= group_bytes:
             yield done()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, near_dedup, packing, quality, secret_scan, sstable, topk_search, warc_archive
+from . import decontaminate, html_extract, language_id, near_dedup, packing, quality, secret_scan, sstable, topk_search, warc_archive
 
 QUERIES = {
     "op1_topk_search": topk_search.op1_topk_search,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_warc_archive": warc_archive.op5_warc_archive,
     "op6_html_extract": html_extract.op6_html_extract,
     "op7_quality": quality.op7_quality,
+    "op8_language_id": language_id.op8_language_id,
+    "op8_language_id_pages": language_id.op8_language_id_pages,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
