@@ -17,6 +17,8 @@ import numpy as np
 #: A space before any of these (printable ASCII, Latin letters) starts a new word for the vocabulary.
 _CUT = re.compile(r" (?=[!-~À-ɏ])")
 _OTHER = re.compile(r" (?![!-~À-ɏ])")
+#: How a byte-level vocabulary writes a leading space.
+_LED = "\u0120"
 _LOADED: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -27,32 +29,54 @@ def default_path() -> str:
 
 
 class Encoder:
+    """Encodes groups of texts. A word is encoded when first seen, tried for a while, and kept once it comes up again."""
+
     def __init__(self, path: str, remembered: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.dtype = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
+        size = self.model.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.starts_word = np.zeros(size, dtype=bool)
+        self.starts_word[[i for token, i in self.model.get_vocab().items() if token.startswith(_LED)]] = True
         self.remembered = remembered
-        self.led: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        missing = words - known.keys()
-        if len(known) + len(missing) > self.remembered:
-            known.clear()
-            missing = words
-        new = list(missing)
-        for at in range(0, len(new), 100_000):
-            part = new[at : at + 100_000]
-            ids = [e.ids for e in self.model.encode_batch_fast([lead + w for w in part], add_special_tokens=False)]
-            flat = np.fromiter(chain.from_iterable(ids), dtype=self.dtype).tobytes()
-            width, at_byte = np.dtype(self.dtype).itemsize, 0
-            for w, i in zip(part, ids):
-                end = at_byte + len(i) * width
-                known[w] = flat[at_byte:end]
-                at_byte = end
+        self.kept: dict[str, bytes] = {}
+        self.tried: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words without spaces, each behind one: many are encoded as one text and parted where a token begins with the space."""
+        rows = [" " + " ".join(words[i : i + 64]) for i in range(0, len(words), 64)]
+        flat = np.fromiter(chain.from_iterable(e.ids for e in self.model.encode_batch(rows, add_special_tokens=False)), dtype=self.dtype)
+        starts = np.flatnonzero(self.starts_word[flat])
+        if len(starts) != len(words):
+            return dict(zip(words, self._ids([" " + w for w in words])))
+        raw = flat.tobytes()
+        at = [*(starts * flat.itemsize).tolist(), len(raw)]
+        return {w: raw[i:j] for w, i, j in zip(words, at, at[1:])}
+
+    def _table(self, words: set[str]) -> dict[str, bytes]:
+        kept, tried = self.kept, self.tried
+        if len(kept) > self.remembered:
+            kept.clear()
+        if len(tried) > self.remembered:
+            tried.clear()
+        out = {w: kept[w] for w in words & kept.keys()}
+        words = words - out.keys()
+        again = {w: tried.pop(w) for w in words & tried.keys()}
+        kept |= again
+        missing = list(words - again.keys())
+        spaced = [w for w in missing if " " in w]
+        new = self._learn([w for w in missing if " " not in w] if spaced else missing)
+        new |= zip(spaced, self._ids([" " + w for w in spaced]))
+        tried |= new
+        out |= again
+        out |= new
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text (null: none) as little-endian integers of ``dtype``."""
@@ -63,17 +87,15 @@ class Encoder:
             text = text or ""
             group.append(text.split(" ") if _OTHER.search(text) is None else _CUT.split(text))
             size += len(text)
-            if size > 4_000_000:
+            if size > 8_000_000:
                 out += self._group(group)
                 group, size = [], 0
         return out + self._group(group)
 
     def _group(self, group: list[list[str]]) -> list[bytes]:
-        self._learn(self.first, {p[0] for p in group}, "")
-        led = set().union(*(p[1:] for p in group)) if group else set()
-        self._learn(self.led, led, " ")
-        first, get = self.first, self.led.__getitem__
-        return [first[p[0]] + b"".join(map(get, p[1:])) for p in group]
+        first = self._ids([words.pop(0) for words in group])
+        get = self._table(set(chain.from_iterable(group))).__getitem__
+        return [head + b"".join(map(get, words)) for head, words in zip(first, group)]
 
 
 def encoder(path: str, remembered: int = 500_000) -> Encoder:
