@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, partitions, table, work_dir
+from .common import cut, many_shingle_hashes, mix64, partitions, table, work_dir
 from .components import components
 from .icws import Idf, counted, samples, weighted_jaccard
 
@@ -47,14 +47,19 @@ def shingle_idf(docs: DataFrame, idf_share: float) -> Idf:
         documents = size = 0
 
         def common() -> pa.RecordBatch:
-            x, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = c >= max(1, idf_share / 2 * documents)
+            least = max(1, idf_share / 2 * documents)
+            # A shingle in so many documents fills its slot of the hash as often; few others do.
+            slots = (np.concatenate(held or [np.zeros(0, np.uint64)]) >> np.uint64(44)).astype(np.int64)
+            may = np.bincount(slots, minlength=1 << 20) >= least
+            left = [np.unique(x[may[(x >> np.uint64(44)).astype(np.int64)]]) for x in held]
+            x, c = np.unique(np.concatenate(left), return_counts=True) if left else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            keep = c >= least
             return pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], names=["x", "c"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.append(counted(text.as_py())[0])
-                documents, size = documents + 1, size + len(held[-1])
+            for shingles in many_shingle_hashes(t.as_py() for t in batch.column(0)):
+                held.append(shingles)
+                documents, size = documents + 1, size + len(shingles)
                 if size > _CHUNK:
                     yield common()
                     held, documents, size = [], 0, 0
@@ -70,8 +75,8 @@ def shingle_idf(docs: DataFrame, idf_share: float) -> Idf:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, total = finder.value, np.zeros(len(candidates), np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                total[found.find(counted(text.as_py())[0])[1]] += 1
+            for shingles in many_shingle_hashes(t.as_py() for t in batch.column(0)):
+                total[np.unique(found.find(shingles)[1])] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "c"])
 
@@ -118,8 +123,8 @@ def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int) -> DataFrame:
                     for i, a, b in zip(owners, k.view(np.int64), s):
                         keys[i], signs[i] = a, b.tobytes()
 
-            for text, i in first.items():
-                own = counted(text)
+            for i, shingles in enumerate(many_shingle_hashes(first)):
+                own = np.unique(shingles, return_counts=True)
                 if len(own[0]):
                     part.append(own)
                     owners.append(i)
@@ -162,67 +167,109 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: Idf, similarity: float) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(idf_of, similarity: float, agreeing: int):
+_KEY = ["bucket", "i", "kind", "j"]
+
+
+def _by_block(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame, pd.DataFrame]]:
+    """The blocks that are in both sides of a group of blocks."""
+    rights = dict(list(right.groupby(_KEY, sort=False))) if len(right) else {}
+    for key, x in left.groupby(_KEY, sort=False) if len(left) else ():
+        if key in rights:
+            yield key, x, rights[key]
+
+
+def _samples(x: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(x.samples), np.uint32).reshape(len(x), -1)
+
+
+def _agreeing(least: int):
+    """Rows of blocks whose samples agree often enough with a row of another class on the other side."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, x, y in _by_block(left, right):
+            sx, sy, lx, ly, dx, dy = _samples(x), _samples(y), x.label.to_numpy(), y.label.to_numpy(), x.doc.to_numpy(), y.doc.to_numpy()
+            near_y = np.zeros(len(y), dtype=bool)
+            for i in range(len(x)):
+                near = (sy == sx[i]).sum(axis=1) >= least
+                near &= ly != lx[i]
+                if near.any():
+                    near_y |= near
+                    out.append((*key, dx[i]))
+            out += [(*key, d) for d in dy[near_y]]
+        return pd.DataFrame(out, columns=[*_KEY, "doc"]).astype("int64")
+
+    return run
+
+
+def _across(idf_of, similarity: float, least: int):
     """Links between classes among the rows of two blocks of one bucket."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}).astype("int64")
         weigh = idf_of.value
-        sides = []
-        for x in (left, right):
-            sides.append((x.doc.to_numpy(), x.label.to_numpy(), np.frombuffer(b"".join(x.samples), np.uint32).reshape(len(x), -1), x.text.to_numpy()))
         parent: dict[int, int] = {}
+        read: dict[int, tuple] = {}
 
         def root(n: int) -> int:
             while parent.get(n, n) != n:
                 parent[n] = n = parent.get(parent[n], parent[n])
             return n
 
-        read: dict[tuple[int, int], tuple] = {}
-
-        def weighted(side: int, i: int) -> tuple[np.ndarray, np.ndarray]:
-            if (side, i) not in read:
-                x, c = counted(sides[side][3][i])
-                read[side, i] = x, c * weigh(x)
-            return read[side, i]
+        def weighted(doc: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+            if doc not in read:
+                if len(read) > 4096:
+                    read.clear()
+                x, c = counted(text)
+                read[doc] = x, c * weigh(x)
+            return read[doc]
 
         found = []
-        (da, la, sa, _), (db, lb, sb, _) = sides
-        for i in range(len(da)):
-            agree = (sb == sa[i]).sum(axis=1)
-            near = np.flatnonzero((agree >= agreeing) & (lb != la[i]))
-            for j in near[np.argsort(-agree[near], kind="stable")]:
-                x, y = root(int(la[i])), root(int(lb[j]))
-                if x != y and weighted_jaccard(weighted(0, i), weighted(1, j)) >= similarity:
-                    parent[max(x, y)] = min(x, y)
-                    found.append((min(da[i], db[j]), max(da[i], db[j])))
+        for _, x, y in _by_block(left, right):
+            sx, sy, lx, ly, dx, dy, tx, ty = _samples(x), _samples(y), x.label.tolist(), y.label.to_numpy(), x.doc.tolist(), y.doc.tolist(), x.text.tolist(), y.text.tolist()
+            for i in range(len(x)):
+                agree = (sy == sx[i]).sum(axis=1)
+                near = np.flatnonzero((agree >= least) & (ly != lx[i]))
+                for j in near[np.argsort(-agree[near], kind="stable")]:
+                    a, b = root(lx[i]), root(int(ly[j]))
+                    if a != b and weighted_jaccard(weighted(dx[i], tx[i]), weighted(dy[j], ty[j])) >= similarity:
+                        parent[max(a, b)] = min(a, b)
+                        found.append((min(dx[i], dy[j]), max(dx[i], dy[j])))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
-def _links_across(members: DataFrame, labels: DataFrame, texts: DataFrame, idf: Idf, similarity: float, agreeing: int, block_rows: int) -> DataFrame:
+def _links_across(members: DataFrame, labels: DataFrame, own: DataFrame, texts: DataFrame, idf: Idf, similarity: float, least: int, block_rows: int) -> DataFrame:
     """Links between classes that share a bucket. The rows of a bucket's largest class are compared only with its other rows."""
+    spark = members.sparkSession
     labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     labelled = cut(labelled.select("bucket", "doc", "label").distinct())
     sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
-    mixed = cut(mixed.select("bucket", F.col("top.label").alias("large"), F.ceil(F.col("top.n") / block_rows).alias("large_blocks"), F.ceil((F.col("n") - F.col("top.n")) / block_rows).alias("small_blocks")))
-    rows = labelled.join(mixed, "bucket").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    mixed = cut(mixed.select("bucket", "n", F.col("top.label").alias("large"), F.ceil(F.col("top.n") / block_rows).alias("large_blocks"), F.ceil((F.col("n") - F.col("top.n")) / block_rows).alias("small_blocks")))
+    rows = labelled.join(mixed.drop("n"), "bucket").join(own, "doc")
     within = lambda n: F.pmod(F.xxhash64("doc"), n)
     small, large = rows.filter("label <> large"), rows.filter("label = large")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    own = small.withColumn("i", within(F.col("small_blocks")))
+    one = small.withColumn("i", within(F.col("small_blocks")))
     # Keys: a block of small rows against one of large rows (kind 0) or of small rows (kind 1, i <= j).
-    kept = ["bucket", "i", "kind", "j", "doc", "label", "samples", "text"]
-    left = own.withColumn("kind", F.lit(0)).withColumn("j", F.explode(upto(F.col("large_blocks")))).select(kept)
-    left = left.union(own.withColumn("kind", F.lit(1)).withColumn("j", F.explode(F.sequence("i", F.col("small_blocks") - 1))).select(kept))
-    right = large.withColumn("j", within(F.col("large_blocks"))).withColumn("kind", F.lit(0)).withColumn("i", F.explode(upto(F.col("small_blocks")))).select(kept)
-    right = right.union(own.withColumn("j", F.col("i")).withColumn("kind", F.lit(1)).withColumn("i", F.explode(upto(F.col("j") + 1))).select(kept))
-    key = ["bucket", "i", "kind", "j"]
-    shared = members.sparkSession.sparkContext.broadcast(idf)
-    return left.toDF(*kept).groupBy(key).cogroup(right.toDF(*kept).groupBy(key)).applyInPandas(_across(shared, similarity, agreeing), "a long, b long").distinct()
+    kept = [*_KEY, "doc", "label", "samples"]
+    kind = lambda df, n: df.withColumn("kind", F.lit(n).cast("long"))
+    left = kind(one, 0).withColumn("j", F.explode(upto(F.col("large_blocks")))).select(kept)
+    left = left.union(kind(one, 1).withColumn("j", F.explode(F.sequence("i", F.col("small_blocks") - 1))).select(kept))
+    right = kind(large.withColumn("j", within(F.col("large_blocks"))), 0).withColumn("i", F.explode(upto(F.col("small_blocks")))).select(kept)
+    right = right.union(kind(one.withColumn("j", F.col("i")), 1).withColumn("i", F.explode(upto(F.col("j") + 1))).select(kept))
+    # Many small blocks go in one group of about as many rows as a large block has.
+    groups = max(partitions(spark), math.ceil((mixed.agg(F.sum("n")).first()[0] or 0) / block_rows))
+    grouped = lambda df: df.withColumn("g", F.pmod(F.xxhash64(*_KEY), F.lit(groups)))
+    left, right = grouped(left), grouped(right)
+    near = cut(left.toDF(*left.columns).groupBy("g").cogroup(right.toDF(*right.columns).groupBy("g")).applyInPandas(_agreeing(least), ", ".join(f"{c} long" for c in [*_KEY, "doc"])).distinct())
+    if near.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
+    shared = spark.sparkContext.broadcast(idf)
+    with_text = lambda df: df.join(near, [*_KEY, "doc"], "left_semi").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    left, right = with_text(left), with_text(right)
+    return left.toDF(*left.columns).groupBy("g").cogroup(right.toDF(*right.columns).groupBy("g")).applyInPandas(_across(shared, similarity, least), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 9, rows: int = 3, idf_share: float = 0.1, block_rows: int = 512, agreement: float = 0.5) -> DataFrame:
@@ -249,8 +296,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 9, ro
     # A row that repeats an id joins the classes of its texts.
     links = links.union(member.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).join(own.select(F.col("doc").alias("b")), "b", "left_semi"))
     labels = components(links)
-    signed_texts = texts.join(own.select(F.col("doc").alias("doc_id"), "samples"), "doc_id")
-    more = cut(_links_across(members.select("bucket", "doc"), labels, signed_texts, idf, similarity, math.ceil(agreement * bands * rows), block_rows))
+    more = cut(_links_across(members.select("bucket", "doc"), labels, own.select("doc", "samples"), texts, idf, similarity, math.ceil(agreement * bands * rows), block_rows))
     if not more.isEmpty():
         labels = components(links.union(more))
     classes = member.join(labels.withColumnRenamed("node", "first"), "first", "left")
