@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table, word_hashes
+from .common import cut, many_word_hashes, partitions, table, word_hashes
 
 _TERM_BITS = 16
 _SLOT_BITS = 20
@@ -93,27 +93,16 @@ class Terms:
         return near, self.column[got[near]]
 
 
-def _batches(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Word hashes of a few whole texts at a time."""
-    at, held, size = 0, [], 0
-    for i, text in enumerate(batch.column(column)):
-        held.append(word_hashes(text.as_py() or ""))
-        size += len(held[-1])
-        if size > most:
-            yield at, held
-            at, held, size = i + 1, [], 0
-    if held:
-        yield at, held
+def _laid_out(words: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words, the number of each word's passage, and each text's first passage and the end."""
+    lengths = np.diff(at)
+    first = np.concatenate([[0], np.cumsum(-(-lengths // step))])
+    place = np.arange(len(words)) - np.repeat(at[:-1], lengths)
+    return words, np.repeat(first[:-1], lengths) + place // step, first
 
 
-def _laid_out(texts: list[np.ndarray], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words, the number of each word's passage, and each text's first passage and the end."""
-    lengths = np.array([len(t) for t in texts])
-    counts = -(-lengths // step)
-    first = np.concatenate([[0], np.cumsum(counts)])
-    begin = np.cumsum(lengths) - lengths
-    place = np.arange(lengths.sum()) - np.repeat(begin, lengths)
-    return np.concatenate(texts), np.repeat(first[:-1], lengths) + place // step, first
+def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return many_word_hashes((t.as_py() for t in batch.column(column)), 1 << 17)
 
 
 def _document_frequencies(docs: DataFrame, terms: Terms, step: int) -> tuple[np.ndarray, int]:
@@ -123,8 +112,8 @@ def _document_frequencies(docs: DataFrame, terms: Terms, step: int) -> tuple[np.
         own = shared.value
         total, passages = np.zeros(own.n, np.int64), 0
         for batch in batches:
-            for _, texts in _batches(batch, 0):
-                words, passage, first = _laid_out(texts, step)
+            for words, at in _groups(batch, 0):
+                words, passage, first = _laid_out(words, at, step)
                 near, column = own.find(words)
                 pairs = np.unique(passage[near] * own.n + column)
                 total += np.bincount(pairs % own.n, minlength=own.n)
@@ -141,9 +130,9 @@ def _document_frequencies(docs: DataFrame, terms: Terms, step: int) -> tuple[np.
     return df, n
 
 
-def _rows(texts: list[np.ndarray], terms: Terms, weight: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(words: np.ndarray, at: np.ndarray, terms: Terms, weight: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passages with any term (ascending, repeated), columns and weights of the entries."""
-    words, passage, _ = _laid_out(texts, step)
+    words, passage, _ = _laid_out(words, at, step)
     near, column = terms.find(words)
     w = weight[column]
     keep = w > 0
@@ -190,8 +179,8 @@ def _sketch(docs: DataFrame, terms: Terms, weight: np.ndarray, step: int, width:
         own, own_weight = shared.value
         omega, y, energy = _omega(own.n, width), np.zeros((own.n, width), np.float32), 0.0
         for batch in batches:
-            for _, texts in _batches(batch, 0):
-                energy += _add_sketch(y, *_rows(texts, own, own_weight, step), omega)
+            for words, at in _groups(batch, 0):
+                energy += _add_sketch(y, *_rows(words, at, own, own_weight, step), omega)
         blocks = list(range(0, own.n, part))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *blocks], pa.int64()), pa.array([np.float64([energy]).tobytes(), *(y[b : b + part].tobytes() for b in blocks)], pa.binary())], names=["block", "y"])
 
@@ -233,7 +222,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-20)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, half: int = 32, rank: int = 192, max_share: float = 0.05, cosine: float = 0.4, verbatim: float = 0.8, paraphrase: float = 0.6, short: int = 8, block_items: int = 4096) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, half: int = 32, rank: int = 144, max_share: float = 0.05, cosine: float = 0.4, verbatim: float = 0.8, paraphrase: float = 0.6, short: int = 8, block_items: int = 4096) -> DataFrame:
     """(doc_id, item_id, lcs, cosine, first_word): a row for each item that a document holds."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
@@ -276,7 +265,7 @@ def _find_block(docs: DataFrame, items: list[tuple[int, str]], half: int, rank:
             if at == 0 or len(w) - at >= half:
                 pieces.append(w[at : at + long_step])
                 owner.append(i)
-    passage, column, w = _rows(pieces, terms, weight, long_step)
+    passage, column, w = _rows(np.concatenate(pieces), np.cumsum([0] + [len(x) for x in pieces]), terms, weight, long_step)
     own = np.zeros((terms.n, width), np.float32)
     own_energy = _add_sketch(own, passage, column, w, omega)
     y += own * (max(energy, own_energy) / max(own_energy, 1e-12))
@@ -303,9 +292,9 @@ def _find_block(docs: DataFrame, items: list[tuple[int, str]], half: int, rank:
             return None
 
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for at, texts in _batches(batch, 1):
-                words, block, first = _laid_out(texts, half)
+            ids, out, doc_at = batch.column(0).to_pylist(), [], 0
+            for words, at in _groups(batch, 1):
+                _, block, first = _laid_out(words, at, half)
                 near, column = terms.find(words)
                 w = weight[column]
                 keep = w > 0
@@ -329,13 +318,14 @@ def _find_block(docs: DataFrame, items: list[tuple[int, str]], half: int, rank:
                         doc = int(np.searchsorted(first, passage, side="right")) - 1
                         met.setdefault((doc, int(owner[j])), []).append((float(near_by[r, j]), passage - int(first[doc])))
                 for (doc, item), hits in met.items():
-                    text, size = texts[doc], max(2 * half, len(items[item][1]))
+                    text, size = words[at[doc] : at[doc + 1]], max(2 * half, len(items[item][1]))
                     for cos, passage in sorted(hits, reverse=True):
                         begin = max(0, passage * half - size)
                         share = verified(item, text[begin : passage * half + 2 * half + size])
                         if share is not None:
-                            out.append((ids[at + doc], items[item][0], share, cos, passage * half))
+                            out.append((ids[doc_at + doc], items[item][0], share, cos, passage * half))
                             break
+                doc_at += len(at) - 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "lcs", "cosine", "first_word"])
 
     return cut(docs.select("doc_id", "text").mapInArrow(run, _FOUND))
