@@ -25,9 +25,9 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: the correlation; 0 for under three pairs or where a side hardly varies."""
     own = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    a = own.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.sqrt(F.var_pop("x") * F.count("*")).alias("dx"), F.sqrt(F.var_pop("y") * F.count("*")).alias("dy"))
+    a = own.agg(F.count("*").alias("n"), (F.covar_pop("x", "y") * F.count("*")).alias("c"), F.sqrt(F.var_pop("x") * F.count("*")).alias("dx"), F.sqrt(F.var_pop("y") * F.count("*")).alias("dy"))
     flat = (F.col("n") < 3) | (F.col("dx") < 1e-10) | (F.col("dy") < 1e-10)
-    return a.select(F.when(flat, 0.0).otherwise(F.col("r")).alias("r"))
+    return a.select(F.when(flat, 0.0).otherwise(F.col("c") / (F.col("dx") * F.col("dy"))).alias("r"))
 
 
 def _element(df: DataFrame, value: str, shares: dict[str, float]) -> tuple[int, dict[str, float]]:

@@ -12,10 +12,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 class _Bounded(StatefulProcessor):
-    """Keeps the last ``size`` forms of a session; the oldest goes first."""
+    """Keeps the last forms of a session; the oldest goes first."""
 
-    def __init__(self, size: int, columns: list[str]):
-        self.size, self.columns = size, columns
+    def __init__(self, forms: int, columns: list[str]):
+        self.forms, self.columns = forms, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "form string", "at long")
@@ -25,23 +25,24 @@ class _Bounded(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first, after = self.ends.get() if self.ends.exists() else (0, 0)
         for pdf in rows:
-            keep = []
-            for forms in pdf[["_exact", "_near"]].itertuples(index=False):
-                own = [f"{n}:{f}" for n, f in zip("en", forms) if f is not None]
-                new = not any(self.seen.containsKey((f,)) for f in own)
+            # By place: names that begin with an underscore don't get here as they are.
+            own, keep = pdf.iloc[:, : len(self.columns)].set_axis(self.columns, axis=1), []
+            for forms in zip(pdf.iloc[:, -2], pdf.iloc[:, -1]):
+                names = [f"{n}:{f}" for n, f in zip("en", forms) if f is not None]
+                new = not any(self.seen.containsKey((f,)) for f in names)
                 keep.append(new)
                 # An entry that is new exactly is remembered so even if it is near to another.
-                for f in own:
+                for f in names:
                     if not self.seen.containsKey((f,)):
                         self.seen.updateValue((f,), (after,))
                         self.queue.updateValue((after,), (f,))
                         after += 1
-                while after - first > 2 * self.size:
+                while after - first > self.forms:
                     self.seen.removeKey((self.queue.getValue((first,))[0],))
                     self.queue.removeKey((first,))
                     first += 1
             self.ends.update((first, after))
-            yield pdf[keep][self.columns]
+            yield own[keep]
 
     def close(self) -> None:
         pass
@@ -54,7 +55,7 @@ def dedup(stream: DataFrame, session: str, exact: str, near: str | None = None,
         return stream.withColumn("_form", F.sha2(form, 256)).dropDuplicates([session, "_form"]).drop("_form")
     columns = stream.columns
     keyed = stream.withColumn("_exact", F.sha2(exact, 256)).withColumn("_near", F.sha2(near, 256) if near else F.lit(None).cast("string"))
-    return keyed.groupBy(session).transformWithStateInPandas(_Bounded(size, columns), stream.schema, "Append", "None")
+    return keyed.groupBy(session).transformWithStateInPandas(_Bounded(size * (2 if near else 1), columns), stream.schema, "Append", "None")
 
 
 def dedup_within(stream: DataFrame, session: str, form: str, time: str, delay: str) -> DataFrame:
