@@ -121,16 +121,18 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
+        end = np.array([end_id], dtype=model.dtype).tobytes()
         schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[tuple] = []
             for at in range(0, len(keys), 1000):
                 for key, raw in zip(keys[at : at + 1000], model.encode(texts[at : at + 1000].to_pylist())):
-                    ids = np.append(np.frombuffer(raw, dtype=model.dtype).astype("<u4"), np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start : start + capacity]
-                        rows.append((key, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+                    ids = memoryview(np.frombuffer(raw + end, dtype=model.dtype).astype("<u4").tobytes())
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        stop = min(start + capacity, n)
+                        rows.append((key, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), n))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)

@@ -65,14 +65,15 @@ class Encoder:
             kept.clear()
         if len(tried) > self.remembered:
             tried.clear()
-        out = {w: kept[w] for w in words & kept.keys()}
-        words = words - out.keys()
-        again = {w: tried.pop(w) for w in words & tried.keys()}
-        kept |= again
-        missing = list(words - again.keys())
+        asked = list(words)
+        out = dict(zip(asked, map(kept.get, asked)))
+        unknown = [w for w, ids in out.items() if ids is None]
+        again = {w: tried.pop(w) for w in unknown if w in tried}
+        missing = [w for w in unknown if w not in again] if again else unknown
         spaced = [w for w in missing if " " in w]
         new = self._learn([w for w in missing if " " not in w] if spaced else missing)
         new |= zip(spaced, self._ids([" " + w for w in spaced]))
+        kept |= again
         tried |= new
         out |= again
         out |= new
@@ -87,7 +88,7 @@ class Encoder:
             text = text or ""
             group.append(text.split(" ") if _OTHER.search(text) is None else _CUT.split(text))
             size += len(text)
-            if size > 8_000_000:
+            if size > 4_000_000:
                 out += self._group(group)
                 group, size = [], 0
         return out + self._group(group)
@@ -98,7 +99,7 @@ class Encoder:
         return [head + b"".join(map(get, words)) for head, words in zip(first, group)]
 
 
-def encoder(path: str, remembered: int = 500_000) -> Encoder:
+def encoder(path: str, remembered: int = 300_000) -> Encoder:
     """This worker's encoder for the vocabulary at ``path``."""
     if (path, remembered) not in _LOADED:
         _LOADED[path, remembered] = Encoder(path, remembered)
