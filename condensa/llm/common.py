@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import posixpath
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 WORD_BYTE = np.zeros(256, dtype=bool)
@@ -50,6 +53,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows an Arrow batch, where the session has Spark's own default: texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
+def _released() -> None:
+    """Gives what a task has freed back to the system: workers live on, and their heaps would only grow."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _lean(function):
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            _released()
+
+    return run
+
+
+def _small_batches(df: DataFrame) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in small batches, with memory given back after each task."""
+    _small_batches(df)
+    return df.mapInArrow(_lean(function), schema)
+
+
+def map_pandas(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInPandas`` likewise."""
+    _small_batches(df)
+    return df.mapInPandas(_lean(function), schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, many_word_hashes, partitions, table, word_hashes
+from .common import cut, many_word_hashes, map_arrow, map_pandas, partitions, table, word_hashes
 
 _TERM_BITS = 16
 _SLOT_BITS = 20
@@ -122,7 +122,7 @@ def _document_frequencies(docs: DataFrame, terms: Terms, step: int) -> tuple[np.
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([passages, *total[at]], pa.int64())], names=["i", "c"])
 
     df, n = np.zeros(terms.n, np.int64), 0
-    for r in docs.select("text").mapInArrow(run, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect():
+    for r in map_arrow(docs.select("text"), run, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect():
         if r.i < 0:
             n = r.c
         else:
@@ -192,11 +192,11 @@ def _sketch(docs: DataFrame, terms: Terms, weight: np.ndarray, step: int, width:
                 total[b] = total[b] + value if b in total else value
         yield pd.DataFrame({"block": list(total), "y": [v.tobytes() for v in total.values()]})
 
-    sums = docs.select("text").mapInArrow(run, "block long, y binary")
+    sums = map_arrow(docs.select("text"), run, "block long, y binary")
     # First over slices of the tasks, then over all.
     sums = sums.withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(16)))
     n = max(1, min(partitions(docs.sparkSession), 64))
-    blocks = sums.repartition(n, "block", "slice").drop("slice").mapInPandas(add, "block long, y binary")
+    blocks = map_pandas(sums.repartition(n, "block", "slice").drop("slice"), add, "block long, y binary")
     y, energy = np.zeros((terms.n, width)), 0.0
     for r in blocks.toLocalIterator():
         if r.block < 0:
@@ -328,7 +328,7 @@ def _find_block(docs: DataFrame, items: list[tuple[int, str]], half: int, rank:
                 doc_at += len(at) - 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "lcs", "cosine", "first_word"])
 
-    return cut(docs.select("doc_id", "text").mapInArrow(run, _FOUND))
+    return cut(map_arrow(docs.select("doc_id", "text"), run, _FOUND))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

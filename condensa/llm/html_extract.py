@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import map_pandas, partitions, table
 
 _RAW = "script|style|noscript|template|iframe|svg|math|object|canvas|textarea|select|title|xmp|noembed|noframes"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
@@ -233,7 +233,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     )
     order = ["host", "path", "page_id"]
     ranged = parts.repartitionByRange(partitions(pages.sparkSession), *order).sortWithinPartitions(*order)
-    return ranged.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return map_pandas(ranged, run, "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, cut, encoded, partitions, table
+from .common import WORD_BYTE, cut, encoded, map_arrow, map_pandas, partitions, table
 
 UND = "und"
+#: What the text alone gives ``und`` before it is read.
+_UND_PRIOR = 1e-3
 _BITS = 15
 _SPACE = np.where(WORD_BYTE, np.arange(256), 32).astype(np.uint32)
 _DECLARED = r"""(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([a-z]{2,3})\b"""
@@ -97,42 +99,64 @@ def _counts(docs: DataFrame, languages: list[str]) -> np.ndarray:
         yield pd.DataFrame({"i": list(total), "c": [v.tobytes() for v in total.values()]})
 
     out = np.zeros((len(languages), slots), np.int64)
-    parts = docs.select("_text", "_label").mapInArrow(run, "i long, c binary").withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(16)))
+    parts = map_arrow(docs.select("_text", "_label"), run, "i long, c binary").withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(16)))
     n = max(1, min(partitions(docs.sparkSession), 64))
-    for r in parts.repartition(n, "i", "slice").drop("slice").mapInPandas(add, "i long, c binary").toLocalIterator():
+    for r in map_pandas(parts.repartition(n, "i", "slice").drop("slice"), add, "i long, c binary").toLocalIterator():
         out[r.i] += np.frombuffer(r.c, np.int64)
     return out
 
 
-def _likelihoods(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """Adds ``ll``: the text's logarithmic likelihood under each row of ``model``; null without word characters."""
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    weights = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def _scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
+    """Adds ``ll``, the text's logarithmic likelihood under each row of ``model``, ``post``, its posterior alone, and ``guess``, the best; null without word characters."""
     shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.T.astype(np.float32)))
     kept = [c for c in docs.columns if c != "_text"]
-    place = docs.columns.index("_text")
+    place, n = docs.columns.index("_text"), len(model)
+    even = np.log(np.array([(1 - _UND_PRIOR) / max(1, n - 1)] * (n - 1) + [_UND_PRIOR]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_slot = shared.value
         for batch in batches:
-            out: list[np.ndarray | None] = []
+            ll: list[np.ndarray | None] = []
             for got, at in trigrams(t.as_py() for t in batch.column(place)):
-                n = np.diff(at)
-                some = np.flatnonzero(n)
-                sums: list[np.ndarray | None] = [None] * len(n)
+                some = np.flatnonzero(np.diff(at))
+                sums: list[np.ndarray | None] = [None] * (len(at) - 1)
                 if len(some):
                     for i, row in zip(some, np.add.reduceat(of_slot[got[: at[-1]]], at[:-1][some], axis=0, dtype=np.float64) / 3):
                         sums[i] = row
-                out += sums
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.list_(pa.float64()))], names=[*kept, "ll"])
+                ll += sums
+            post = [None if x is None else _softmax((x + even)[None])[0] for x in ll]
+            guess = [None if x is None else int(x.argmax()) for x in post]
+            numbers = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ll, numbers), pa.array(post, numbers), pa.array(guess, pa.int32())], names=[*kept, "ll", "post", "guess"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text")
-    return docs.mapInArrow(run, f"{schema}, ll array<double>")
+    return map_arrow(docs, run, f"{schema}, ll array<double>, post array<double>, guess int")
 
 
-def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
+def _judged(rows: DataFrame, corpus: np.ndarray, names: list[str], least: float) -> DataFrame:
+    """(_id, language, confidence, accepted) from the likelihoods, the host's prior and the evidence that there is."""
+    pieces = [c for c in rows.columns if c not in ("_id", "ll")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("_id")
+            total = [x if x is None else np.array(x) for x in batch.column("ll").to_pylist()]
+            for c in pieces:
+                for i, x in enumerate(batch.column(c).to_pylist()):
+                    if total[i] is not None and (x is not None or c == "by_host"):
+                        total[i] = total[i] + (np.log(np.maximum(x if x is not None else corpus, 1e-9)) if c == "by_host" else np.array(x))
+            post = [None if x is None else _softmax(x[None])[0] for x in total]
+            language = [UND if x is None else names[int(x.argmax())] for x in post]
+            confidence = [1.0 if x is None else float(x.max()) for x in post]
+            accepted = [name != UND and c >= least for name, c in zip(language, confidence)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(language, pa.string()), pa.array(confidence, pa.float64()), pa.array(accepted, pa.bool_())], names=["_id", "language", "confidence", "accepted"])
+
+    return map_arrow(rows, run, "_id long, language string, confidence double, accepted boolean")
 
 
 def _evidence(scored: DataFrame, column: str, n: int, mass: float) -> DataFrame:
@@ -179,31 +203,22 @@ def identify(df: DataFrame, id_col: str, text_col: str, url_col: str | None = No
         F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), host.alias("_host"),
         F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("_domain"), F.when(declared != "", declared).alias("_declared"), suffix.alias("_suffix"),
     )
-    scored = _likelihoods(rows, model)
-    even = [math.log((1 - 1e-3) / max(1, n - 1))] * (n - 1) + [math.log(1e-3)]
-    prior = F.array(*[F.lit(x) for x in even])
-    scored = scored.withColumn("post", F.when(F.col("ll").isNotNull(), _softmax(F.zip_with("ll", prior, lambda x, y: x + y))))
-    scored = cut(scored.withColumn("guess", F.array_position("post", F.array_max("post")).cast("int") - 1))
+    scored = cut(_scored(rows, model))
 
     total = scored.agg(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
     corpus = np.array([*total], float) + 1.0
-    corpus = F.array(*[F.lit(float(x)) for x in corpus / corpus.sum()])
-    domains = _sums(scored, "_domain", n).select("_domain", _smoothed(F.col("s"), corpus, mass).alias("by_domain"))
+    corpus = corpus / corpus.sum()
+    everywhere = F.array(*[F.lit(float(x)) for x in corpus])
+    domains = _sums(scored, "_domain", n).select("_domain", _smoothed(F.col("s"), everywhere, mass).alias("by_domain"))
     hosts = _sums(scored, "_host", n).withColumn("_domain", F.regexp_extract("_host", r"([^.]+\.[^.]+)$", 1))
-    hosts = hosts.join(domains, "_domain", "left").select("_host", _smoothed(F.col("s"), F.coalesce("by_domain", corpus), mass).alias("by_host"))
-    out = scored.join(cut(hosts), "_host", "left")
-    for column in ("_declared", "_suffix"):
-        out = out.join(cut(_evidence(scored, column, n, 1.0)), column, "left")
-    # The host's prior in place of the even one, then each piece of evidence that there is.
-    added = F.transform(F.coalesce("by_host", corpus), lambda p: F.log(F.greatest(p, F.lit(1e-9))))
-    fused = F.zip_with("ll", added, lambda x, y: x + y)
+    hosts = hosts.join(domains, "_domain", "left").select("_host", _smoothed(F.col("s"), F.coalesce("by_domain", everywhere), mass).alias("by_host"))
+    out = scored.select("_id", "ll", "_host", "_declared", "_suffix").join(cut(hosts), "_host", "left")
     for column in ("_declared", "_suffix"):
-        fused = F.when(F.col(f"ev{column}").isNotNull(), F.zip_with(fused, F.col(f"ev{column}"), lambda x, y: x + y)).otherwise(fused)
-    out = out.withColumn("_fused", F.when(F.col("ll").isNotNull(), _softmax(fused)))
-    confidence = F.coalesce(F.array_max("_fused"), F.lit(1.0))
-    language = F.when(F.col("ll").isNull(), UND).otherwise(F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position("_fused", F.array_max("_fused")).cast("int")))
-    out = out.select(F.col("_id").alias(id_col), language.alias("language"), confidence.alias("confidence"))
-    return out.withColumn("accepted", (F.col("language") != UND) & (F.col("confidence") >= least))
+        found = scored.select(column, "guess").filter(F.col(column).isNotNull())
+        if not found.isEmpty():
+            out = out.join(cut(_evidence(found, column, n, 1.0)), column, "left")
+    out = out.drop("_host", "_declared", "_suffix")
+    return _judged(out, corpus, names, least).withColumnRenamed("_id", id_col)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

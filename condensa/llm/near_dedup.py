@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, many_shingle_hashes, mix64, partitions, table, work_dir
+from .common import cut, many_shingle_hashes, map_arrow, mix64, partitions, table, work_dir
 from .components import components
 from .icws import Idf, counted, samples, weighted_jaccard
 
@@ -66,7 +66,7 @@ def shingle_idf(docs: DataFrame, idf_share: float) -> Idf:
         yield common()
 
     # Unreported counts sum to under idf_share / 2 * n, so the common are among these, which are few.
-    reported = texts.mapInArrow(report, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).filter(F.col("c") >= idf_share / 2 * n)
+    reported = map_arrow(texts, report, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).filter(F.col("c") >= idf_share / 2 * n)
     candidates = np.sort(np.array([r.x for r in reported.select("x").collect()], dtype=np.int64).view(np.uint64))
     if not len(candidates):
         return Idf(candidates, np.zeros(0), max(n, 1), idf_share)
@@ -81,7 +81,7 @@ def shingle_idf(docs: DataFrame, idf_share: float) -> Idf:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "c"])
 
     df = np.zeros(len(candidates), np.int64)
-    for r in texts.mapInArrow(count, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect():
+    for r in map_arrow(texts, count, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect():
         df[r.i] = r.c
     keep = df >= idf_share * n
     return Idf(candidates[keep], df[keep], n, idf_share)
@@ -139,7 +139,7 @@ def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int) -> DataFrame:
             )
 
     own = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.md5("text")).alias("text_key"))
-    return own.mapInArrow(run, "doc_id long, text_key binary, bands array<long>, samples binary")
+    return map_arrow(own, run, "doc_id long, text_key binary, bands array<long>, samples binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: Idf, similarity: float) -> DataFrame:
@@ -164,7 +164,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: Idf, similarity: float) ->
                 keep.append(weighted_jaccard(last[1], weighted(text_b.as_py())) >= similarity)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return map_arrow(both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 _KEY = ["bucket", "i", "kind", "j"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, map_arrow, table
 from .tokens import default_path, encoder
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -135,7 +135,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = 20
                         rows.append((key, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), n))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, _PIECES)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = 2048) -> DataFrame:

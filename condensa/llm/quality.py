@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_ranges, partitions, table
+from .common import hash_ranges, map_arrow, map_pandas, partitions, table
 
 DIM = 48
 _CAPITALS, _REPEAT, _LONG, _FIRST = 0, 1, 2, 8
@@ -125,10 +125,10 @@ def word_vectors(docs: DataFrame, rows: int, part: int = 2048) -> np.ndarray:
                 total[b] = total[b] + value if b in total else value
         yield pd.DataFrame({"block": list(total), "sums": [v.tobytes() for v in total.values()]})
 
-    sums = docs.select("text").mapInArrow(run, "block long, sums binary").withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(8)))
+    sums = map_arrow(docs.select("text"), run, "block long, sums binary").withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(8)))
     n = max(1, min(partitions(docs.sparkSession), 64))
     out = np.zeros((rows, DIM))
-    for r in sums.repartition(n, "block", "slice").drop("slice").mapInPandas(add, "block long, sums binary").toLocalIterator():
+    for r in map_pandas(sums.repartition(n, "block", "slice").drop("slice"), add, "block long, sums binary").toLocalIterator():
         out[r.block : r.block + part] += np.frombuffer(r.sums).reshape(-1, DIM)
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -221,7 +221,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
                 yield pd.DataFrame({"doc_id": x.doc_id, "label": x.label, "f": [r.tobytes() for r in f]})
 
     # The sample has at most sample_rows rows of two numbers.
-    got = docs.join(F.broadcast(sample), "doc_id").mapInPandas(featured, "doc_id long, label int, f binary").toPandas().sort_values(["doc_id", "f"])
+    got = map_pandas(docs.join(F.broadcast(sample), "doc_id"), featured, "doc_id long, label int, f binary").toPandas().sort_values(["doc_id", "f"])
     y = got.label.to_numpy().astype(np.int64) if len(got) else np.zeros(0, np.int64)
     net = None
     share = float(y.mean()) if len(y) else 0.5
@@ -237,7 +237,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(part("doc_id") == held_out_part, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", "text", held).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(docs.select("doc_id", "text", held), scored, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table, work_dir
+from .common import cut, map_arrow, partitions, table, work_dir
 from .tokens import default_path, encoder
 
 MAGIC = b"CSST0001"
@@ -219,7 +219,7 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int = 0, shards:
 
     n = shards or partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return cut(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST))
+    return cut(map_arrow(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text"), run, MANIFEST))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
