@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The marker of a folded array, and how many elements stay.
-MARKER, SAMPLE = "__toon", 3
+#: The key that marks a folded array (give another where readers expect it), and how many elements stay.
+MARKER, SAMPLE = "__folded", 3
 
 
 def folded(array, threshold: int = 5) -> Column:
@@ -32,18 +32,18 @@ def fold_groups(rows: DataFrame, group: str, order: str, value: str, threshold:
     return sizes.join(sample, group)
 
 
-def fold_value(value: Any, threshold: int = 5) -> Any:
+def fold_value(value: Any, threshold: int = 5, marker: str = MARKER) -> Any:
     """Recursive folding of an untyped JSON value."""
     if isinstance(value, dict):
-        return {k: fold_value(v, threshold) for k, v in value.items()}
+        return {k: fold_value(v, threshold, marker) for k, v in value.items()}
     if isinstance(value, (list, tuple)):
         if len(value) > threshold:
-            return {MARKER: True, "count": len(value), "sample": [fold_value(v, threshold) for v in value[:SAMPLE]]}
-        return [fold_value(v, threshold) for v in value]
+            return {marker: True, "count": len(value), "sample": [fold_value(v, threshold, marker) for v in value[:SAMPLE]]}
+        return [fold_value(v, threshold, marker) for v in value]
     return value
 
 
-def fold_json(text, threshold: int = 5) -> Column:
+def fold_json(text, threshold: int = 5, marker: str = MARKER) -> Column:
     """``fold_value`` over JSON text, arrays at any depth; text that isn't JSON stays."""
     if threshold <= 0:
         raise ValueError("the threshold must be positive")
@@ -52,7 +52,7 @@ def fold_json(text, threshold: int = 5) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         def one(t):
             try:
-                return json.dumps(fold_value(json.loads(t), threshold), ensure_ascii=False)
+                return json.dumps(fold_value(json.loads(t), threshold, marker), ensure_ascii=False)
             except (TypeError, ValueError):
                 return t
 

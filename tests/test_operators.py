@@ -187,7 +187,7 @@ def test_folding(spark):
     assert (got[0]["count"], got[0].sample) == (8, [1, 2, 3]) and got[1:] == [None, None]
     with pytest.raises(ValueError):
         fold.folded("a", 0)
-    assert fold.fold_value({"a": [[1] * 9] * 7})["a"] == {"__toon": True, "count": 7, "sample": [{"__toon": True, "count": 9, "sample": [1, 1, 1]}] * 3}
+    assert fold.fold_value({"a": [[1] * 9] * 7}, marker="m")["a"] == {"m": True, "count": 7, "sample": [{"m": True, "count": 9, "sample": [1, 1, 1]}] * 3}
     text = spark.createDataFrame([(json.dumps({"x": list(range(9))}),), ("no json",)], "t string").select(fold.fold_json("t").alias("o")).collect()
     assert json.loads(text[0].o)["x"]["count"] == 9 and text[1].o == "no json"
 
