@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import numpy as np
@@ -76,6 +77,14 @@ def test_blocks_of_items_give_the_same(spark):
     assert {(r.doc_id, r.item_id) for r in find_passages(d, b, block_items=11).collect()} == want
 
 
+def test_rank_spans_180_items_that_share_no_word():
+    rank = inspect.signature(find_passages).parameters["rank"].default
+    a = np.kron(np.eye(180), np.ones((1, 4)) / 2)
+    omega = np.random.default_rng(3).normal(size=(720, rank + 32))
+    basis = latent_basis(a.T @ (a @ omega), omega, rank)
+    assert np.linalg.norm(a @ basis, axis=1).min() > 0.99
+
+
 def test_answer_is_needed_for_paraphrases(spark):
     item = [(1, "what colour has the quiet northern harbour after seven days of heavy rain answer: deep turquoise")]
     kept = "what colour has the quiet northern harbour after seven days of heavy rain"
