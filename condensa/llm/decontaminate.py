@@ -12,10 +12,16 @@ document is cut into passages of ``2 * half`` words, each overlapping the next b
    with the words around it: the longest common subsequence must hold ``verbatim`` of the item's
    words, or ``paraphrase`` of them and all of its answer. The answer is what follows the last
    "answer:" of the item or, without one, its five rarest terms.
+4. Beside the cosine, every run of three words that a document shares with an item (the whole
+   item, if it is shorter) leads to the same check, at the place where the two would lie upon each
+   other. An item of ``short`` words or more of which ``verbatim`` is left in place has such a
+   run between its changes, so copies with words replaced or left out don't depend on the rank.
 
 Scale: three passes of map-side work; shuffled are a count a term and task and one sketch a task.
 What reaches the driver and is broadcast has (terms) x (rank) numbers, and terms are hashed to at
-most 2**16. The benchmark goes in blocks of ``block_items`` items.
+most 2**16. The benchmark goes in blocks of ``block_items`` items, each with a space of its own:
+four items a direction by default, for a fixed rank spans a larger block worse. The passes grow
+with the blocks.
 
 Defined cases: null and empty texts hold nothing; items without words match nothing; items of
 under ``short`` words must be there whole. Rows with a null doc_id or item_id are left out. Rows
@@ -26,6 +32,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, many_word_hashes, map_arrow, map_pandas, partitions, table, word_hashes
+from .common import cut, many_word_hashes, map_arrow, map_pandas, partitions, shingle_hashes, table, word_hashes
 
 _TERM_BITS = 16
 _SLOT_BITS = 20
@@ -93,6 +100,48 @@ class Terms:
         return near, self.column[got[near]]
 
 
+class Runs:
+    """Runs of ``length`` words of the items (whole items, where those are shorter) and where they are."""
+
+    def __init__(self, items: list[np.ndarray], length: int = 3):
+        self.tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for k in sorted({min(length, len(w)) for w in items}):
+            own = [(i, shingle_hashes(w, k)) for i, w in enumerate(items) if min(length, len(w)) == k]
+            runs = np.concatenate([x for _, x in own])
+            item = np.repeat([i for i, _ in own], [len(x) for _, x in own])
+            place = np.concatenate([np.arange(len(x)) for _, x in own])
+            order = np.argsort(runs, kind="stable")
+            self.tables.append((k, runs[order], item[order], place[order]))
+        self._filters()
+
+    def _filters(self) -> None:
+        self.may = []
+        for _, runs, _, _ in self.tables:
+            self.may.append(np.zeros(1 << _SLOT_BITS, dtype=bool))
+            self.may[-1][(runs >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = True
+
+    def __getstate__(self):
+        return {"tables": self.tables}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._filters()
+
+    def find(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts, items, and the places in the texts where the items would begin (below 0: before them), for each shared run."""
+        for (k, runs, item, place), may in zip(self.tables, self.may):
+            if len(words) < k:
+                continue
+            own = shingle_hashes(words, k)
+            near = np.flatnonzero(may[(own >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)])
+            low, high = np.searchsorted(runs, own[near]), np.searchsorted(runs, own[near], side="right")
+            text = np.searchsorted(at, near, side="right") - 1
+            keep = (high > low) & (near + k <= at[text + 1])
+            near, low, count, text = near[keep], low[keep], (high - low)[keep], text[keep]
+            entry = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            yield np.repeat(text, count), item[entry], np.repeat(near - at[text], count) - place[entry]
+
+
 def _laid_out(words: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words, the number of each word's passage, and each text's first passage and the end."""
     lengths = np.diff(at)
@@ -222,7 +271,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-20)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, half: int = 32, rank: int = 192, max_share: float = 0.05, cosine: float = 0.4, verbatim: float = 0.8, paraphrase: float = 0.6, short: int = 8, block_items: int = 4096) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, half: int = 32, rank: int = 192, max_share: float = 0.05, cosine: float = 0.4, verbatim: float = 0.8, paraphrase: float = 0.6, short: int = 8, block_items: int = 768) -> DataFrame:
     """(doc_id, item_id, lcs, cosine, first_word): a row for each item that a document holds."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
@@ -279,10 +328,10 @@ def _find_block(docs: DataFrame, items: list[tuple[int, str]], half: int, rank:
         else:
             near, c = terms.find(w)
             answers.append(np.unique(w[near][np.argsort(-weight[c], kind="stable")[:5]]))
-    shared = spark.sparkContext.broadcast((terms, weight, basis, vectors, owner, [(i, w) for i, w, _ in hashed], answers))
+    shared = spark.sparkContext.broadcast((terms, weight, basis, vectors, owner, [(i, w) for i, w, _ in hashed], answers, Runs([w for _, w, _ in hashed])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weight, basis, vectors, owner, items, answers = shared.value
+        terms, weight, basis, vectors, owner, items, answers, runs = shared.value
 
         def verified(item: int, region: np.ndarray) -> float | None:
             words = items[item][1]
@@ -317,6 +366,7 @@ def _find_block(docs: DataFrame, items: list[tuple[int, str]], half: int, rank:
                         passage = int(part[r])
                         doc = int(np.searchsorted(first, passage, side="right")) - 1
                         met.setdefault((doc, int(owner[j])), []).append((float(near_by[r, j]), passage - int(first[doc])))
+                done: set[tuple[int, int]] = set()
                 for (doc, item), hits in met.items():
                     text, size = words[at[doc] : at[doc + 1]], max(2 * half, len(items[item][1]))
                     for cos, passage in sorted(hits, reverse=True):
@@ -324,6 +374,22 @@ def _find_block(docs: DataFrame, items: list[tuple[int, str]], half: int, rank:
                         share = verified(item, text[begin : passage * half + 2 * half + size])
                         if share is not None:
                             out.append((ids[doc_at + doc], items[item][0], share, cos, passage * half))
+                            done.add((doc, item))
+                            break
+                shared_runs: dict[tuple[int, int], Counter[int]] = {}
+                for found_runs in runs.find(words, at):
+                    for doc, item, begin in zip(*(x.tolist() for x in found_runs)):
+                        if (doc, item) not in done:
+                            shared_runs.setdefault((doc, item), Counter())[begin // half] += 1
+                for (doc, item), places in shared_runs.items():
+                    text, length = words[at[doc] : at[doc + 1]], len(items[item][1])
+                    around = max(half, length // 2)
+                    for place, _ in places.most_common():
+                        share = verified(item, text[max(0, place * half - around) : (place + 1) * half + length + around])
+                        if share is not None:
+                            passage = int(first[doc]) + max(0, place)
+                            cos = float((sums[passage] @ vectors[owner == item].T).max(initial=0.0) / max(norms[passage], 1e-20))
+                            out.append((ids[doc_at + doc], items[item][0], share, cos, max(0, place) * half))
                             break
                 doc_at += len(at) - 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "lcs", "cosine", "first_word"])

@@ -85,6 +85,25 @@ def test_rank_spans_180_items_that_share_no_word():
     assert np.linalg.norm(a @ basis, axis=1).min() > 0.99
 
 
+def test_copies_do_not_depend_on_the_cosine(spark):
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([1, 2, 5, 8, 15, 30, 60, 150])]
+    docs = [(i, " ".join(f"{x}y" for x in say(300)) + " " + t + " " + " ".join(f"{x}y" for x in say(100))) for i, t in items]
+    for i, t in items[3:]:
+        part = t.split()
+        for j in range(3, len(part), 6):
+            part[j] = "other"
+        docs.append((100 + i, " ".join(part)))
+    # A run that only the border of two texts makes is none.
+    docs += [(200, items[1][1].split()[0]), (201, items[1][1].split()[1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in find_passages(d, b, cosine=2.0).collect()}
+    want = {(i, i) for i, _ in items} | {(100 + i, i) for i, _ in items[3:]}
+    assert got.keys() == want
+    assert all(got[i, i].lcs == 1.0 and 256 <= got[i, i].first_word <= 300 for i, _ in items)
+
+
 def test_answer_is_needed_for_paraphrases(spark):
     item = [(1, "what colour has the quiet northern harbour after seven days of heavy rain answer: deep turquoise")]
     kept = "what colour has the quiet northern harbour after seven days of heavy rain"
