@@ -14,9 +14,9 @@ One more language, ``und``, spreads its bytes evenly; it stands for no language
 knows. A document is rejected when ``und`` is its best, when the best holds less than
 ``least`` of the posterior, or when it has no word characters.
 
-Scale: the trigram tables of at most ``max_languages`` languages are what is broadcast (the
-languages with most documents; the others are learned as none). Texts are read in two passes and
-never shuffled; what is written and joined is a row of numbers a document. Hosts are joined, not
+Scale: every label is learned. Texts are counted and scored by ``block_languages`` languages at a
+time; the trigram tables, 131 KB a language, are what is broadcast. Texts are read in two passes (the
+first, a pass a block of languages) and never shuffled; what is written and joined is a row of numbers a document. Hosts are joined, not
 broadcast; a hot host is a skewed join, which Spark splits.
 
 Defined cases: null and empty texts, and texts without word characters, are ``und``. Null labels
@@ -111,22 +111,23 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def _scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
+def _scored(docs: DataFrame, model: np.ndarray, block_languages: int) -> DataFrame:
     """Adds ``ll``, the text's logarithmic likelihood under each row of ``model``, ``post``, its posterior alone, and ``guess``, the best; null without word characters."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.T.astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast([np.ascontiguousarray(model[i : i + block_languages].T.astype(np.float32)) for i in range(0, len(model), block_languages)])
     kept = [c for c in docs.columns if c != "_text"]
     place, n = docs.columns.index("_text"), len(model)
     even = np.log(np.array([(1 - _UND_PRIOR) / max(1, n - 1)] * (n - 1) + [_UND_PRIOR]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_slot = shared.value
+        blocks = shared.value
         for batch in batches:
             ll: list[np.ndarray | None] = []
             for got, at in trigrams(t.as_py() for t in batch.column(place)):
                 some = np.flatnonzero(np.diff(at))
                 sums: list[np.ndarray | None] = [None] * (len(at) - 1)
                 if len(some):
-                    for i, row in zip(some, np.add.reduceat(of_slot[got[: at[-1]]], at[:-1][some], axis=0, dtype=np.float64) / 3):
+                    scores = [np.add.reduceat(of_slot[got[: at[-1]]], at[:-1][some], axis=0, dtype=np.float64) / 3 for of_slot in blocks]
+                    for i, row in zip(some, np.hstack(scores)):
                         sums[i] = row
                 ll += sums
             post = [None if x is None else _softmax((x + even)[None])[0] for x in ll]
@@ -180,13 +181,13 @@ def _smoothed(own: Column, above: Column, mass: float) -> Column:
     return F.zip_with(own, above, lambda x, y: (x + mass * y) / (total + mass))
 
 
-def identify(df: DataFrame, id_col: str, text_col: str, url_col: str | None = None, host_col: str | None = None, train: DataFrame | None = None, train_text: str = "text", train_label: str = "lang", least: float = 0.5, mass: float = 20.0, max_languages: int = 64) -> DataFrame:
+def identify(df: DataFrame, id_col: str, text_col: str, url_col: str | None = None, host_col: str | None = None, train: DataFrame | None = None, train_text: str = "text", train_label: str = "lang", least: float = 0.5, mass: float = 20.0, block_languages: int = 64) -> DataFrame:
     """(id, language, confidence, accepted). ``train`` holds labelled texts; hosts come from ``url_col`` or ``host_col``."""
     spark = df.sparkSession
     train = (train if train is not None else df).select(F.col(train_text).alias("_text"), F.col(train_label).cast("string").alias("_label"))
     by_label = train.filter("_label IS NOT NULL AND _text IS NOT NULL").groupBy("_label").count()
-    languages = sorted(r["_label"] for r in by_label.orderBy(F.desc("count"), "_label").limit(max_languages).collect())
-    counts = _counts(train, languages) if languages else np.zeros((0, 1 << _BITS))
+    languages = sorted(r["_label"] for r in by_label.collect())
+    counts = np.vstack([np.zeros((0, 1 << _BITS)), *(_counts(train, languages[i : i + block_languages]) for i in range(0, len(languages), block_languages))])
     slots = 1 << _BITS
     model = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * slots))
     model = np.vstack([model, np.full(slots, -math.log(slots))])
@@ -203,7 +204,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, url_col: str | None = No
         F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), host.alias("_host"),
         F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("_domain"), F.when(declared != "", declared).alias("_declared"), suffix.alias("_suffix"),
     )
-    scored = cut(_scored(rows, model))
+    scored = cut(_scored(rows, model, block_languages))
 
     total = scored.agg(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
     corpus = np.array([*total], float) + 1.0

@@ -79,3 +79,15 @@ def test_unknown_script_is_rejected(spark):
     odd = "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 200))
     df = spark.createDataFrame([(1, odd)], "doc_id long, text string")
     assert [r.language for r in identify(df, "doc_id", "text", train=train).collect()] == ["und"]
+
+
+def test_every_label_is_learned(spark):
+    # More labels than a block, the last of them with the fewest texts.
+    rows = []
+    for i in range(70):
+        rng = np.random.default_rng(i)
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(1000 * i + j, " ".join(rng.choice(words, 40)), f"l{i:02d}") for j in range(2 if i > 63 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identify(df, "doc_id", "text").collect()}
+    assert all(got[i].language == lang and got[i].accepted for i, _, lang in rows)
