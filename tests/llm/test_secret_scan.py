@@ -1,11 +1,14 @@
 import base64
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from condensa.llm.secret_scan import cuts, find_secrets, redact, scan
+from condensa.llm.secret_scan import ENCODINGS, battery, cuts, find_secrets, read_as, redact, scan
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 # Only the name may be in either case; the value's class holds both anyway.
@@ -69,6 +72,66 @@ def test_random_strings_are_told_from_structured(spark):
     assert all(0 < v <= 3 for v in cuts(scan(df)).values())
 
 
+def statistics(text, encoding):
+    """The three standard scores, written out with numpy, and the score of the battery."""
+    alphabet, case = ENCODINGS[encoding][1], {"hex": str.lower, "base36": str.upper}.get(encoding, str)
+    own = case(text.rstrip("=").replace("-", "+").replace("_", "/") if encoding == "base64" else text.rstrip("="))
+    n, size = len(own), len(alphabet)
+    at = np.array([alphabet.index(c) for c in own], float)
+    counts = np.bincount(at.astype(int), minlength=size)
+    chi = ((counts - n / size) ** 2 / (n / size)).sum()
+    free = (size - 1) * n / (n - 1)
+    chi_z = ((chi / (size - 1)) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    kind = lambda c: "d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o"
+    kinds = [kind(c) for c in alphabet]
+    p = {k: kinds.count(k) / size for k in set(kinds)}
+    changes = sum(kind(a) != kind(b) for a, b in zip(own, own[1:]))
+    # Moments of the number of changes by summing over all pairs and triples of classes.
+    mean = sum(p[a] * p[b] for a in p for b in p if a != b)
+    both = sum(p[a] * p[b] * p[c] for a in p for b in p for c in p if a != b and b != c)
+    var = (n - 1) * mean * (1 - mean) + 2 * (n - 2) * (both - mean**2)
+    centred = at - at.mean()
+    r = (centred[:-1] * centred[1:]).sum() / (centred**2).sum()
+    z = {"chi": chi_z, "runs": (changes - (n - 1) * mean) / math.sqrt(var), "serial": (r + 1 / n) / math.sqrt((n - 2) ** 2 / (n**2 * (n - 1)))}
+    s = -sum(math.log(math.erfc(abs(x) / math.sqrt(2))) for x in z.values())
+    return z, (s - math.log(1 + s + s * s / 2)) / math.log(10)
+
+
+def test_battery_equals_numpy_and_is_calibrated(spark):
+    rng = random.Random(3)
+    for encoding, (_, alphabet, _) in ENCODINGS.items():
+        texts = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (20, 33, 64, 300) for _ in range(150)]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+        rows = df.withColumn("own", read_as(F.col("t"), encoding)).select("i", *[c.alias(k) for k, c in battery(F.col("own"), encoding).items()]).collect()
+        for r in rows[::10]:
+            want, _ = statistics(texts[r.i], encoding)
+            assert all(abs(r[k] - want[k]) < 1e-6 for k in want), (encoding, texts[r.i])
+        scored = scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+        own = [(c.score, texts[r.doc_id]) for r in scored for c in r.candidates if c.encoding == encoding]
+        assert len(own) > 400
+        assert all(abs(s - statistics(t, encoding)[1]) < 1e-4 * max(1, s) for s, t in own[::10])
+        # A tenth of random strings score above 1, whatever the encoding and the length.
+        assert 0.04 < np.mean([s > 1 for s, _ in own]) < 0.16
+        assert np.mean([s > 3 for s, _ in own]) < 0.01
+
+
+def test_control_takes_no_lone_structured_string_and_tests_base_spans_too(spark):
+    lone = ["internationalization-of-software", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "ABCDEFGHIJKLMNOPQRSTUVWXYZ012345", "content/uploads/2019/11/photograph", "abababababababababababababababab", "thequickbrownfoxjumpsoverlazydogs"]
+    for text in lone:
+        got = find_secrets(spark.createDataFrame([(1, f"x {text} y")], "doc_id long, text string")).first()
+        assert "random" not in got.spans, text
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
+    plain = ["".join(rng.choice(letters + "0123456789") for _ in range(24)) for _ in range(300)]
+    plain += ["".join(rng.choice(letters) for _ in range(24)) for _ in range(5)]
+    rows = [(i, f'token = "{k}"') for i, k in enumerate(keys)] + [(100 + i, f"see {k}") for i, k in enumerate(plain)]
+    got = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(f"random:9:49" in got[i] and "assign:0:49" in got[i] for i in range(30)) >= 27
+    assert sum("random:4:28" in got[100 + i] for i in range(300)) >= 290
+    assert sum("random:4:28" in got[400 + i] for i in range(5)) >= 3
+
+
 def test_redaction(found):
     texts, df = found
     df = df.withColumnRenamed("spans", "n_chars").selectExpr("doc_id", "text", "base", "cast(length(text) as long) n_chars")
