@@ -1,10 +1,15 @@
 """Improved consistent weighted sampling over TF-IDF shingles.
 
-A text is the multiset of its runs of five words. A shingle weighs its count times
-1 + ln(1 + N / df); df counts all N documents, and shingles in less than ``idf_share`` of them
-weigh 1 + ln(1 + 1 / idf_share), so that the table of document frequencies has at most
-2 * (shingles a document) / idf_share rows whatever N is. The share is as large as a tenth so that
-near copies stay near in a group of thousands: what they share is common only by their number.
+A text is the multiset of its runs of five words. A shingle weighs its count times its inverse
+document frequency, 1 + ln(1 + min(N / df, 1 / idf_share)), where N counts all documents. A group
+of near copies would make what its members share common by their number alone, and their few
+differences heavy; so df counts texts, not copies: documents with the shingle that have the same
+least hash of all their shingles (which near copies of similarity s have with probability s, and
+texts that merely share a passage hardly ever) count once.
+
+Weights are exact for every shingle. The table holds those in at least ``idf_share`` of the
+documents, which are at most 1 / idf_share times the mean number of shingles a document, whatever
+N is; the df of any other shingle is below that share too, so its weight is the one bound.
 
 For weight S of shingle x and sample k, with r and c from Gamma(2, 1) and b uniform, all fixed by
 (x, k): t = floor(ln S / r + b) and ln a = ln c - r (t - b) - r. The sample is the shingle with
@@ -46,7 +51,7 @@ class Idf:
         order = np.argsort(shingles, kind="stable")
         self.shingles = shingles[order].astype(np.uint64)
         self.rare = 1 + math.log1p(1 / idf_share)
-        self.weight = np.minimum(1 + np.log1p(n / np.maximum(df[order], 1)), self.rare)
+        self.weight = 1 + np.log1p(np.minimum(n / np.maximum(df[order], 1), 1 / idf_share))
         self._filter()
 
     def _filter(self) -> None:
@@ -82,6 +87,11 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(word_hashes(text or ""), SHINGLE), return_counts=True)
 
 
+def origin(shingles: np.ndarray) -> int:
+    """The least hash of a text's shingles; 0 without shingles. Near copies mostly have the same."""
+    return int(mix64(shingles ^ np.uint64(0x2545F4914F6CDD1D)).min()) if len(shingles) else 0
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two sorted arrays of shingles with their weights."""
     (x, v), (y, w) = a, b

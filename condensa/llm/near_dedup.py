@@ -1,7 +1,8 @@
 """Near-duplicate classes by banded consistent weighted samples, verified by weighted Jaccard.
 
-1. Document frequencies of common shingles: tasks report shingles that are common among their own
-   documents, which every common shingle is in some task; the reported are then counted exactly.
+1. Document frequencies of common shingles (see ``icws``): tasks report shingles that are common
+   among their own documents, which every common shingle is in some task; of the reported, the
+   distinct texts that hold them are then counted exactly.
 2. One pass takes each text's samples and bands (see ``icws``). Equal texts become one class.
 3. In each band's bucket every text is paired with the bucket's least id, and the pairs are
    verified exactly. Components of the verified pairs are the first classes.
@@ -32,13 +33,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, many_shingle_hashes, map_arrow, mix64, partitions, table, work_dir
 from .components import components
-from .icws import Idf, counted, samples, weighted_jaccard
+from .icws import Idf, counted, origin, samples, weighted_jaccard
 
 _CHUNK = 4_000_000
 
 
 def shingle_idf(docs: DataFrame, idf_share: float) -> Idf:
-    """Exact document frequencies of all shingles in at least ``idf_share`` of the documents."""
+    """Exact document frequencies, copies counted once, of all shingles in at least ``idf_share`` of the documents."""
     n = docs.count()
     texts = docs.select("text").coalesce(max(1, math.ceil(n * idf_share / 4)))
 
@@ -73,18 +74,30 @@ def shingle_idf(docs: DataFrame, idf_share: float) -> Idf:
     finder = docs.sparkSession.sparkContext.broadcast(Idf(candidates, np.ones(len(candidates)), n, idf_share))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = finder.value, np.zeros(len(candidates), np.int64)
+        found = finder.value
+        held: list[np.ndarray] = []
+        size = 0
+
+        def pairs() -> pa.RecordBatch:
+            rows = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["i", "origin"])
+
         for batch in batches:
             for shingles in many_shingle_hashes(t.as_py() for t in batch.column(0)):
-                total[np.unique(found.find(shingles)[1])] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "c"])
-
-    df = np.zeros(len(candidates), np.int64)
-    for r in map_arrow(texts, count, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).collect():
-        df[r.i] = r.c
-    keep = df >= idf_share * n
-    return Idf(candidates[keep], df[keep], n, idf_share)
+                at = np.unique(found.find(shingles)[1])
+                if len(at):
+                    held.append(np.stack([at.astype(np.int64), np.full(len(at), np.uint64(origin(shingles)).astype(np.int64))]))
+                    size += len(at)
+                if size > _CHUNK // 4:
+                    yield pairs()
+                    held, size = [], 0
+        yield pairs()
+
+    # Many copies of a text are one pair a task before they are shuffled.
+    df, raw = np.zeros(len(candidates), np.int64), map_arrow(texts, count, "i long, origin long")
+    for r in raw.distinct().groupBy("i").count().collect():
+        df[r["i"]] = r["count"]
+    return Idf(candidates, df, n, idf_share)
 
 
 def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int) -> DataFrame:
@@ -272,7 +285,7 @@ def _links_across(members: DataFrame, labels: DataFrame, own: DataFrame, texts:
     return left.toDF(*left.columns).groupBy("g").cogroup(right.toDF(*right.columns).groupBy("g")).applyInPandas(_across(shared, similarity, least), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 9, rows: int = 3, idf_share: float = 0.1, block_rows: int = 512, agreement: float = 0.5) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 9, rows: int = 3, idf_share: float = 0.002, block_rows: int = 256, agreement: float = 0.5) -> DataFrame:
     """(doc_id, class_id): class_id is the least doc_id of the document's class."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")

@@ -1,24 +1,35 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from condensa.llm.components import components
-from condensa.llm.icws import Idf, counted, samples, weighted_jaccard
+from condensa.llm.icws import counted, origin, samples, weighted_jaccard
 from condensa.llm.near_dedup import near_duplicates, shingle_idf
 
 
-def brute(rows, similarity=0.8, idf_share=0.1):
+def brute(rows, similarity=0.8, idf_share=0.002):
+    """All pairs, with weights from plain dictionaries over shingles of words as strings."""
     rows = [(d, t) for d, t in rows if d is not None]
-    sets = [counted(t) for _, t in rows]
-    df = {}
-    for x, _ in sets:
-        for s in x.tolist():
-            df[s] = df.get(s, 0) + 1
     n = len(rows)
-    common = {s: c for s, c in df.items() if c >= idf_share * n}
-    idf = Idf(np.array(list(common), np.uint64), np.array(list(common.values()), np.int64), n, idf_share)
-    weighted = [(x, c * idf(x)) for x, c in sets]
+
+    def shingles(text):
+        w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").lower())
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    sets = [shingles(t) for _, t in rows]
+    holders = {}
+    for (_, t), own in zip(rows, sets):
+        # The hash that says which texts count as one is the operator's; all else is not.
+        text = origin(counted(t)[0])
+        for x in own:
+            holders.setdefault(x, set()).add(text)
+    idf = {x: 1 + math.log(1 + min(n / len(h), 1 / idf_share)) for x, h in holders.items()}
+    weights = [{x: c * idf[x] for x, c in own.items()} for own in sets]
+    total = [sum(w.values()) for w in weights]
     parent = {d: d for d, _ in rows}
 
     def root(x):
@@ -26,9 +37,16 @@ def brute(rows, similarity=0.8, idf_share=0.1):
             x = parent[x]
         return x
 
+    def similar(i, j):
+        a, b = sorted((weights[i], weights[j]), key=len)
+        if not a or min(total[i], total[j]) < similarity * max(total[i], total[j]):
+            return False
+        both = sum(min(w, b[x]) for x, w in a.items() if x in b)
+        return both / (total[i] + total[j] - both) >= similarity
+
     for i, (a, s) in enumerate(rows):
         for j, (b, t) in enumerate(rows[:i]):
-            if s is not None and t is not None and (s == t or weighted_jaccard(weighted[i], weighted[j]) >= similarity):
+            if s is not None and t is not None and (s == t or similar(i, j)):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return sorted((d, root(d)) for d, _ in rows)
@@ -78,10 +96,24 @@ def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_idf_counts_all_documents(spark):
-    rows = [(i, "one two three four five" + (f" own{i}" if i % 3 else "")) for i in range(90)]
+def test_idf_counts_texts_of_all_documents(spark):
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(40))
+    rows = [(i, own(i) + (" one two three four five" if i % 3 else "")) for i in range(90)] + [(100 + i, own(0) + " x") for i in range(30)]
     idf = shingle_idf(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 0.05)
-    assert len(idf.shingles) == 1 and np.isclose(idf.weight[0], 1 + np.log(2))
+    weights = dict(zip(idf.shingles.tolist(), idf.weight.tolist()))
+    passage = counted("one two three four five")[0].tolist()[0]
+    assert np.isclose(weights[passage], 1 + np.log(1 + 120 / 60))
+    # Thirty copies and their original are one text: what they share weighs as much as what only one document has.
+    assert all(np.isclose(weights.get(x, idf.rare), 1 + np.log(21)) for x in counted(own(0))[0].tolist())
+
+
+def test_a_common_passage_links_no_different_texts(spark):
+    rng = random.Random(2)
+    passage = " ".join(f"licence{i}" for i in range(90))
+    rows = [(i, passage + " " + " ".join(f"w{rng.random()}" for _ in range(14))) for i in range(40)]
+    rows += [(1000 + i, " ".join(f"z{rng.random()}" for _ in range(60))) for i in range(360)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == d for d in got)
 
 
 def test_samples_estimate_weighted_jaccard():
