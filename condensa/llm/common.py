@@ -10,8 +10,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
@@ -92,6 +94,48 @@ def map_pandas(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInPandas(_lean(function), schema)
 
 
+#: Parts of a table that tasks sum: number of the part, its rows that were touched, their values (and what a sum of a single number needs).
+BLOCKS = "block long, at binary, sums binary"
+
+
+def touched_blocks(total: np.ndarray, part: int, extra: float | None = None) -> pa.RecordBatch:
+    """The rows of a task's table that aren't all zeros, in parts of ``part`` rows; ``extra`` goes along as part -1."""
+    rows = np.flatnonzero(total.any(axis=1))
+    cuts = np.flatnonzero(np.diff(rows // part)) + 1
+    pieces = [x for x in np.split(rows, cuts) if len(x)]
+    blocks = [int(x[0]) // part for x in pieces]
+    at, sums = [x.astype(np.int32).tobytes() for x in pieces], [total[x].astype(np.float32).tobytes() for x in pieces]
+    if extra is not None:
+        blocks, at, sums = [-1, *blocks], [b"", *at], [np.float64(extra).tobytes(), *sums]
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(at, pa.binary()), pa.array(sums, pa.binary())], names=["block", "at", "sums"])
+
+
+def summed_blocks(blocks: DataFrame, width: int, slices: int = 16) -> Iterator[tuple[np.ndarray | None, np.ndarray | float]]:
+    """Rows and their sums over all tasks, first over slices of the tasks; None and a number for what went along."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, dict[int, np.ndarray]] = {}
+        for x in batches:
+            for b, at, raw in zip(x.block, x.at, x.sums):
+                own = total.setdefault(b, {})
+                rows = [-1] if b < 0 else np.frombuffer(at, np.int32).tolist()
+                values = np.frombuffer(raw, np.float64 if b < 0 else np.float32).astype(np.float64).reshape(len(rows), -1)
+                for r, v in zip(rows, values):
+                    if r in own:
+                        own[r] += v
+                    else:
+                        own[r] = v.copy()
+        yield pd.DataFrame([(b, np.array(list(own), np.int32).tobytes(), np.array(list(own.values())).tobytes()) for b, own in total.items()], columns=["block", "at", "sums"]).astype({"block": "int64"})
+
+    n = max(1, min(partitions(blocks.sparkSession), 64))
+    sliced = blocks.withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
+    for r in map_pandas(sliced.repartition(n, "block", "slice").drop("slice"), add, BLOCKS).toLocalIterator():
+        if r.block < 0:
+            yield None, float(np.frombuffer(r.sums)[0])
+        else:
+            yield np.frombuffer(r["at"], np.int32), np.frombuffer(r.sums).reshape(-1, width)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ document is cut into passages of ``2 * half`` words, each overlapping the next b
    other. An item of ``short`` words or more of which ``verbatim`` is left in place has such a
    run between its changes, so copies with words replaced or left out don't depend on the rank.
 
-Scale: three passes of map-side work; shuffled are a count a term and task and one sketch a task.
+Scale: three passes of map-side work; shuffled are a count a term and task and, of a sketch a task, the rows of terms it met.
 What reaches the driver and is broadcast has (terms) x (rank) numbers, and terms are hashed to at
 most 2**16. The benchmark goes in blocks of ``block_items`` items, each with a space of its own:
 four items a direction by default, for a fixed rank spans a larger block worse. The passes grow
@@ -36,12 +36,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, many_word_hashes, map_arrow, map_pandas, partitions, shingle_hashes, table, word_hashes
+from .common import BLOCKS, cut, many_word_hashes, map_arrow, shingle_hashes, summed_blocks, table, touched_blocks, word_hashes
 
 _TERM_BITS = 16
 _SLOT_BITS = 20
@@ -230,30 +229,14 @@ def _sketch(docs: DataFrame, terms: Terms, weight: np.ndarray, step: int, width:
         for batch in batches:
             for words, at in _groups(batch, 0):
                 energy += _add_sketch(y, *_rows(words, at, own, own_weight, step), omega)
-        blocks = list(range(0, own.n, part))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *blocks], pa.int64()), pa.array([np.float64([energy]).tobytes(), *(y[b : b + part].tobytes() for b in blocks)], pa.binary())], names=["block", "y"])
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for x in batches:
-            for b, raw in zip(x.block, x.y):
-                value = np.frombuffer(raw, np.float64 if b < 0 else np.float32).astype(np.float64)
-                total[b] = total[b] + value if b in total else value
-        yield pd.DataFrame({"block": list(total), "y": [v.tobytes() for v in total.values()]})
-
-    sums = map_arrow(docs.select("text"), run, "block long, y binary")
-    # First over slices of the tasks, then over all.
-    sums = sums.withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(16)))
-    n = max(1, min(partitions(docs.sparkSession), 64))
-    blocks = map_pandas(sums.repartition(n, "block", "slice").drop("slice"), add, "block long, y binary")
+        yield touched_blocks(y, part, energy)
+
     y, energy = np.zeros((terms.n, width)), 0.0
-    for r in blocks.toLocalIterator():
-        if r.block < 0:
-            energy += float(np.frombuffer(r.y)[0])
+    for at, value in summed_blocks(map_arrow(docs.select("text"), run, BLOCKS), width):
+        if at is None:
+            energy += value
         else:
-            value = np.frombuffer(r.y)
-            value = value if len(value) == min(part, terms.n - r.block) * width else np.frombuffer(r.y, np.float32)
-            y[r.block : r.block + part] += value.reshape(-1, width)
+            y[at] += value
     return y, energy
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_ranges, map_arrow, map_pandas, partitions, table
+from .common import BLOCKS, hash_ranges, map_arrow, map_pandas, summed_blocks, table, touched_blocks
 
 DIM = 48
 _CAPITALS, _REPEAT, _LONG, _FIRST = 0, 1, 2, 8
@@ -114,22 +114,11 @@ def word_vectors(docs: DataFrame, rows: int, part: int = 2048) -> np.ndarray:
         for batch in batches:
             for ids, at in tokens((t.as_py() for t in batch.column(0)), rows):
                 _add_contexts(total, ids, at, index)
-        blocks = list(range(0, rows, part))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([total[b : b + part].tobytes() for b in blocks], pa.binary())], names=["block", "sums"])
+        yield touched_blocks(total, part)
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for x in batches:
-            for b, raw in zip(x.block, x.sums):
-                value = np.frombuffer(raw, np.float32).astype(np.float64)
-                total[b] = total[b] + value if b in total else value
-        yield pd.DataFrame({"block": list(total), "sums": [v.tobytes() for v in total.values()]})
-
-    sums = map_arrow(docs.select("text"), run, "block long, sums binary").withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(8)))
-    n = max(1, min(partitions(docs.sparkSession), 64))
     out = np.zeros((rows, DIM))
-    for r in map_pandas(sums.repartition(n, "block", "slice").drop("slice"), add, "block long, sums binary").toLocalIterator():
-        out[r.block : r.block + part] += np.frombuffer(r.sums).reshape(-1, DIM)
+    for at, value in summed_blocks(map_arrow(docs.select("text"), run, BLOCKS), DIM):
+        out[at] += value
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -220,8 +209,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
                 f = np.concatenate(list(features(x.text, shared.value)))
                 yield pd.DataFrame({"doc_id": x.doc_id, "label": x.label, "f": [r.tobytes() for r in f]})
 
-    # The sample has at most sample_rows rows of two numbers.
-    got = map_pandas(docs.join(F.broadcast(sample), "doc_id"), featured, "doc_id long, label int, f binary").toPandas().sort_values(["doc_id", "f"])
+    # The sample has at most sample_rows rows of two numbers,
+    # and rows that repeat an id are one of them, that with the least text.
+    one = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    got = map_pandas(one, featured, "doc_id long, label int, f binary").toPandas().sort_values(["doc_id", "f"])
     y = got.label.to_numpy().astype(np.int64) if len(got) else np.zeros(0, np.int64)
     net = None
     share = float(y.mean()) if len(y) else 0.5

@@ -9,11 +9,14 @@ interval of the query's largest coordinates on unit vectors). Products of all th
 computed exactly.
 
 Scale: buckets hold about ``bucket_rows`` rows, and queries go in blocks of ``query_block``; a
-task sees one bucket and one block. Many vectors of one length are split by hash of the id.
+group is one bucket and one block. Many vectors of one length are split by hash of the id. A vector
+is sent to a block only if a query of the block reaches its bucket. What functions carry is a number
+a bucket and a number a block.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows with a null
 id, take no part. Shorter vectors count as padded with zeros; an empty vector scores 0 with all.
-Rows that repeat an id are candidates each, but one query (that with the least vector). Fewer than
+Products that 64 bits can't hold are computed exactly and returned as the end of the range that they
+are beyond; those at one end are tied. Rows that repeat an id are candidates each, but one query (that with the least vector). Fewer than
 ``k`` candidates: all are returned. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -57,21 +60,18 @@ def prepare(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, cells = batch.column(0), batch.column(1)
-            keep, norms, packed = [], [], []
-            for key, cell in zip(ids.to_pylist(), cells):
-                if key is None or not cell.is_valid:
-                    continue
-                x = cell.values
-                if x.null_count:
-                    continue
-                x = x.to_numpy(zero_copy_only=False).astype(np.float64)
-                if not np.isfinite(x).all():
-                    continue
-                x = np.clip(np.floor(scale * x), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
-                keep.append(key)
-                norms.append(math.sqrt(float(np.dot(x.astype(np.float64), x.astype(np.float64)))))
-                packed.append(_pack(x))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(norms, pa.float64()), pa.array(packed, pa.binary())], names=["vec_id", "norm", "v"])
+            # The cells' components lie one after the other; sums over a cell are differences of running sums.
+            at = cells.offsets.to_numpy()
+            values = cells.values.slice(at[0], at[-1] - at[0])
+            at = at - at[0]
+            x = values.to_numpy(zero_copy_only=False).astype(np.float64)
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(x) | values.is_null().to_numpy(zero_copy_only=False))])
+            keep = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False) & cells.is_valid().to_numpy(zero_copy_only=False) & (bad[at[1:]] == bad[at[:-1]]))
+            with np.errstate(invalid="ignore"):
+                x = np.clip(np.floor(scale * np.where(np.isfinite(x), x, 0.0)), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+            rows = [x[at[i] : at[i + 1]] for i in keep]
+            norms = [math.sqrt(float(np.dot(r := row.astype(np.float64), r))) for row in rows]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(norms, pa.float64()), pa.array([_pack(row) for row in rows], pa.binary())], names=["vec_id", "norm", "v"])
 
     return df.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(run, _PREPARED)
 
@@ -95,8 +95,10 @@ def _matcher(k: int, coordinate_from: float, focus: int):
         q, p = _unpack(queries.v, dim), _unpack(probes.v, dim)
         ids, length = probes.vec_id.to_numpy(), probes.norm.to_numpy()
         own, q_len, least = queries.query_id.to_numpy(), queries.norm.to_numpy(), queries.theta.to_numpy()
-        exact = q_len.max(initial=0) * length[0] < 2.0**52
-        pf, qf = (p.astype(np.float64), q.astype(np.float64)) if exact else (p, q)
+        # Every sum of a product is at most the product of the lengths; beyond 64 bits Python's integers are exact.
+        size = q_len.max(initial=0) * length[0]
+        kind = np.float64 if size < 2.0**52 else np.int64 if size < 2.0**62 else object
+        pf, qf = p.astype(kind), q.astype(kind)
         unit = p / np.maximum(length, 1e-300)[:, None]
         # Local cosine thresholds choose the pruning; without a threshold, or for a query of zeros, nothing is pruned.
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -114,12 +116,16 @@ def _matcher(k: int, coordinate_from: float, focus: int):
             best = _best(scores, ids[near], k)
             found.append((np.full(len(best), own[i]), ids[near][best], scores[best].astype(np.int64)))
 
+        def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = a @ b
+            return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64) if kind is object else out
+
         plain = np.flatnonzero(~by_coordinate)
         plain = plain[np.argsort(prefix[plain], kind="stable")]
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
             top = int(prefix[part].max())
-            scores = qf[part] @ pf[:top].T
+            scores = products(qf[part], pf[:top].T)
             for i, row in zip(part, scores):
                 n = int(prefix[i])
                 emit(i, np.arange(n), row[:n])
@@ -135,7 +141,7 @@ def _matcher(k: int, coordinate_from: float, focus: int):
                 high = 1.0 if c > t else c * t + spread
                 mask &= (unit[:n, f] >= low) & (unit[:n, f] <= high)
             near = np.flatnonzero(mask)
-            emit(i, near, pf[near] @ qf[i])
+            emit(i, near, products(pf[near], qf[i]))
         parts = list(zip(*found))
         return pd.DataFrame({c: np.concatenate(x) if len(x) else np.zeros(0, np.int64) for c, x in zip(("query_id", "vec_id", "score"), parts)})
 
@@ -160,29 +166,46 @@ def topk_search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     bound = np.repeat(upper, slices)
     blocks = max(1, math.ceil(n_queries / query_block))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            group = np.searchsorted(-upper, -x.norm.to_numpy(), side="right") - 1
-            slot = pd.util.hash_array(x.vec_id.to_numpy().astype(np.uint64)) % slices[group].astype(np.uint64)
-            yield x.assign(bucket=first[group] + slot.astype(np.int64))
+    def spread(reach: np.ndarray, from_bucket: int) -> DataFrame:
+        """Vectors with their bucket, once for each block of which a query reaches it."""
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                group = np.searchsorted(-upper, -x.norm.to_numpy(), side="right") - 1
+                slot = pd.util.hash_array(x.vec_id.to_numpy().astype(np.uint64)) % slices[group].astype(np.uint64)
+                bucket = first[group] + slot.astype(np.int64)
+                x = x.assign(bucket=bucket)
+                for b in np.flatnonzero(reach >= from_bucket):
+                    yield x[(bucket >= from_bucket) & (bucket <= reach[b])].assign(block=b)
 
-    spread = probes.mapInPandas(place, _PREPARED + ", bucket long").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        return probes.mapInPandas(place, _PREPARED + ", bucket long, block long")
+
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     match = _matcher(k, coordinate_from, focus)
 
     def matched(q: DataFrame, p: DataFrame) -> DataFrame:
         return q.groupBy("bucket", "block").cogroup(p.groupBy("bucket", "block")).applyInPandas(match, _MATCH)
 
-    head = cut(matched(asked.withColumn("bucket", F.lit(0).cast("long")).withColumn("theta", F.lit(float("-inf"))), spread.filter("bucket = 0")))
+    head = cut(matched(asked.withColumn("bucket", F.lit(0).cast("long")).withColumn("theta", F.lit(float("-inf"))), spread(np.zeros(blocks, np.int64), 0)))
     found = head
     if len(bound) > 1:
         theta = head.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("theta"))
-        limits = F.array(*[F.lit(float(b)) for b in bound[1:]])
+        # A bound, so a little lower than the sum that it is rounded from.
+        theta = theta.withColumn("theta", F.col("theta") - F.abs("theta") * 1e-12)
         left = asked.join(theta, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
-        # Lengths fall with the bucket number: those that a query still needs are a prefix.
-        reach = F.size(F.filter(limits, lambda b: b * F.col("norm") * (1 + 1e-9) >= F.col("theta")))
-        left = left.withColumn("reach", reach).filter("reach > 0").withColumn("bucket", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reach").cast("long")))).drop("reach")
-        found = head.unionByName(matched(left, spread.filter("bucket > 0")))
+
+        def reaching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # Lengths fall with the bucket number: those that a query still needs are a prefix.
+            for x in batches:
+                least = np.where(x.norm > 0, x.theta / x.norm.where(x.norm > 0, 1.0) / (1 + 1e-9), np.where(x.theta <= 0, -np.inf, np.inf))
+                yield x.assign(reach=np.searchsorted(-bound[1:], -least, side="right"))
+
+        left = cut(left.mapInPandas(reaching, "query_id long, norm double, v binary, block long, theta double, reach long").filter("reach > 0"))
+        reach = np.zeros(blocks, np.int64)
+        for r in left.groupBy("block").agg(F.max("reach").alias("reach")).collect():
+            reach[r.block] = r.reach
+        left = left.withColumn("bucket", F.explode(F.sequence(F.lit(1).cast("long"), "reach"))).drop("reach")
+        found = head.unionByName(matched(left, spread(reach, 1)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

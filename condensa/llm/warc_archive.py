@@ -9,8 +9,9 @@ Of records with equal payloads the one with the smallest id is a ``response``; t
 ``revisit`` records that refer to it. Payloads under ``min_bytes`` bytes are always responses.
 
 Scale: digests are grouped with map-side sums; only digests that occur more than once are joined
-back (a hot one is a skewed join, which Spark splits), and a payload is shuffled once a task and
-digest, since a rank-one window is limited before its exchange.
+back (a hot one is a skewed join, which Spark splits). Payloads that occur once are written where
+they are read; of the others one a task and digest is shuffled, since a rank-one window is limited
+before its exchange.
 
 Defined cases: a null payload is empty. A row with a null id is written like others; it is a
 response only if no row with an id has its payload. Rows that repeat an id and payload are records
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, work_dir
 
+#: Digests that repeat are broadcast up to this many (64 MB); beyond it the join shuffles.
+BROADCAST_DIGESTS = 1_000_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,9 +49,11 @@ def _payload(column: str) -> Column:
 def write_archive(records: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
     own = records.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("url"), _payload(payload_col).alias("payload"))
     digests = own.select("record_id", "url", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
-    shared = digests.filter(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    joined = digests.join(cut(shared), "digest", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first_id"))
+    repeated = cut(digests.groupBy("digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
+    if repeated.count() <= BROADCAST_DIGESTS:
+        repeated = F.broadcast(repeated)
+    joined = digests.join(repeated, "digest", "left")
+    revisit = (F.col("bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     name = lambda c: F.concat(F.lit("<urn:x-record:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))
     address = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
@@ -65,9 +70,13 @@ def write_archive(records: DataFrame, out: str, id_col: str = "page_id", url_col
         F.lit("\r\n"),
     )
     joined.select("record_id", "digest", F.encode(warc, "UTF-8").alias("warc_header"), F.encode(F.lit(_HTTP), "UTF-8").alias("http_header")).write.parquet(f"{out}/headers")
+    # Only payloads that repeat are shuffled, as one a task and digest; the others are written where they are.
+    repeated = repeated.select(F.col("digest").alias("_repeated"))
+    stored = own.select(F.sha2("payload", 256).alias("digest"), "record_id", "payload").join(repeated, F.col("digest") == F.col("_repeated"), "left")
     once = F.row_number().over(Window.partitionBy("digest").orderBy("record_id"))
-    stored = own.select(F.sha2("payload", 256).alias("digest"), "record_id", "payload").withColumn("_n", once).filter("_n = 1")
-    stored.select("digest", "payload").write.parquet(f"{out}/payloads")
+    alone = stored.filter("_repeated IS NULL").select("digest", "payload")
+    first = stored.filter("_repeated IS NOT NULL").withColumn("_n", once).filter("_n = 1").select("digest", "payload")
+    alone.unionByName(first).write.parquet(f"{out}/payloads")
 
 
 def _verified(payloads: DataFrame) -> DataFrame:
@@ -76,7 +85,7 @@ def _verified(payloads: DataFrame) -> DataFrame:
 
 
 def _field(text: Column, key: str) -> Column:
-    found = F.regexp_extract(text, rf"(?m)^{key}: ([^\r\n]*)", 1)
+    found = F.regexp_extract(text, rf"(?md)^{key}: ([^\r\n]*)", 1)
     return F.when(found != "", found)
 
 

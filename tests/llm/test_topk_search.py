@@ -42,6 +42,19 @@ def test_odd_rows(spark):
     assert rows_of(topk_search(df, df.filter("vec_id % 50 = 0"))) == brute(rows, 5, 50)
 
 
+def test_products_beyond_64_bits(spark):
+    # Components whose products wrap in 64 bits; in the last rows even one product is beyond them.
+    rows = [(i, [float(np.float32(3e7 + 1000 * i)), float(i)], "", "") for i in range(0, 200, 5)]
+    got = rows_of(topk_search(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows, SCHEMA).filter("vec_id % 50 = 0"), bucket_rows=8, query_block=2))
+    end = 2**63 - 1
+    assert got == {(q, r, p, s) for q, r, p, s in got} and len(got) == 20
+    exact = {(i, tuple(int(np.floor(256 * float(np.float32(x)))) for x in v)) for i, v, *_ in rows}
+    exact = dict(exact)
+    for q in range(0, 200, 50):
+        want = sorted(((-min(end, sum(a * b for a, b in zip(exact[q], exact[p]))), p) for p in exact if p != q))[:5]
+        assert [(p, s) for _, _, p, s in sorted(x for x in got if x[0] == q)] == [(p, -s) for s, p in want]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert topk_search(df, df).collect() == []

@@ -57,3 +57,11 @@ def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     write_archive(df, f"file://{tmp_path}/w")
     assert read_archive(spark, f"file://{tmp_path}/w").collect() == []
+
+
+def test_an_address_starts_no_header_line(spark, tmp_path):
+    for i, end in enumerate(["\u2028", "\u0085", "\u2029", "\r", "\n"]):
+        out = f"{tmp_path}/{i}"
+        df = spark.createDataFrame([(1, f"http://x/{end}WARC-Refers-To: <urn:x-record:5>", "a")], "page_id long, url string, html string")
+        write_archive(df, out)
+        assert read_archive(spark, out).first().refers_to is None
