@@ -95,7 +95,7 @@ def map_pandas(df: DataFrame, function, schema: str) -> DataFrame:
 
 
 #: Parts of a table that tasks sum: number of the part, its rows that were touched, their values (and what a sum of a single number needs).
-BLOCKS = "block long, at binary, sums binary"
+BLOCKS = "block long, places binary, sums binary"
 
 
 def touched_blocks(total: np.ndarray, part: int, extra: float | None = None) -> pa.RecordBatch:
@@ -107,25 +107,28 @@ def touched_blocks(total: np.ndarray, part: int, extra: float | None = None) ->
     at, sums = [x.astype(np.int32).tobytes() for x in pieces], [total[x].astype(np.float32).tobytes() for x in pieces]
     if extra is not None:
         blocks, at, sums = [-1, *blocks], [b"", *at], [np.float64(extra).tobytes(), *sums]
-    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(at, pa.binary()), pa.array(sums, pa.binary())], names=["block", "at", "sums"])
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(at, pa.binary()), pa.array(sums, pa.binary())], names=["block", "places", "sums"])
 
 
-def summed_blocks(blocks: DataFrame, width: int, slices: int = 16) -> Iterator[tuple[np.ndarray | None, np.ndarray | float]]:
+def summed_blocks(blocks: DataFrame, width: int, part: int, slices: int = 16) -> Iterator[tuple[np.ndarray | None, np.ndarray | float]]:
     """Rows and their sums over all tasks, first over slices of the tasks; None and a number for what went along."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, dict[int, np.ndarray]] = {}
+        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        extra: list[float] = []
         for x in batches:
-            for b, at, raw in zip(x.block, x.at, x.sums):
-                own = total.setdefault(b, {})
-                rows = [-1] if b < 0 else np.frombuffer(at, np.int32).tolist()
-                values = np.frombuffer(raw, np.float64 if b < 0 else np.float32).astype(np.float64).reshape(len(rows), -1)
-                for r, v in zip(rows, values):
-                    if r in own:
-                        own[r] += v
-                    else:
-                        own[r] = v.copy()
-        yield pd.DataFrame([(b, np.array(list(own), np.int32).tobytes(), np.array(list(own.values())).tobytes()) for b, own in total.items()], columns=["block", "at", "sums"]).astype({"block": "int64"})
+            for b, places, raw in zip(x.block, x.places, x.sums):
+                if b < 0:
+                    extra.append(float(np.frombuffer(raw)[0]))
+                    continue
+                if b not in total:
+                    total[b] = np.zeros(part, bool), np.zeros((part, width))
+                at = np.frombuffer(places, np.int32) - b * part
+                total[b][0][at] = True
+                total[b][1][at] += np.frombuffer(raw, np.float32).reshape(-1, width)
+        rows = [(b, (np.flatnonzero(met) + b * part).astype(np.int32).tobytes(), sums[met].tobytes()) for b, (met, sums) in total.items()]
+        rows += [(-1, b"", np.float64(sum(extra)).tobytes())] if extra else []
+        yield pd.DataFrame(rows, columns=["block", "places", "sums"]).astype({"block": "int64"})
 
     n = max(1, min(partitions(blocks.sparkSession), 64))
     sliced = blocks.withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(slices)))
@@ -133,7 +136,7 @@ def summed_blocks(blocks: DataFrame, width: int, slices: int = 16) -> Iterator[t
         if r.block < 0:
             yield None, float(np.frombuffer(r.sums)[0])
         else:
-            yield np.frombuffer(r["at"], np.int32), np.frombuffer(r.sums).reshape(-1, width)
+            yield np.frombuffer(r.places, np.int32), np.frombuffer(r.sums).reshape(-1, width)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -232,7 +232,7 @@ def _sketch(docs: DataFrame, terms: Terms, weight: np.ndarray, step: int, width:
         yield touched_blocks(y, part, energy)
 
     y, energy = np.zeros((terms.n, width)), 0.0
-    for at, value in summed_blocks(map_arrow(docs.select("text"), run, BLOCKS), width):
+    for at, value in summed_blocks(map_arrow(docs.select("text"), run, BLOCKS), width, part):
         if at is None:
             energy += value
         else:

@@ -117,7 +117,7 @@ def word_vectors(docs: DataFrame, rows: int, part: int = 2048) -> np.ndarray:
         yield touched_blocks(total, part)
 
     out = np.zeros((rows, DIM))
-    for at, value in summed_blocks(map_arrow(docs.select("text"), run, BLOCKS), DIM):
+    for at, value in summed_blocks(map_arrow(docs.select("text"), run, BLOCKS), DIM, part):
         out[at] += value
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
