@@ -10,6 +10,9 @@ The posterior of a document's language multiplies
 * the prior of its host, smoothed towards its domain's, and that towards the corpus's: grouped
   sums of the posteriors that the text alone gives.
 
+A document has no part in its own prior or evidence: what it added to the sums and counts is taken
+off again.
+
 One more language, ``und``, spreads its bytes evenly; it stands for no language that the model
 knows. A document is rejected when ``und`` is its best, when the best holds less than
 ``least`` of the posterior, or when it has no word characters.
@@ -17,7 +20,7 @@ knows. A document is rejected when ``und`` is its best, when the best holds less
 Scale: every label is learned. Texts are counted and scored by ``block_languages`` languages at a
 time; the trigram tables, 131 KB a language, are what is broadcast. Texts are read in two passes (the
 first, a pass a block of languages) and never shuffled; what is written and joined is a row of numbers a document. Hosts are joined, not
-broadcast; a hot host is a skewed join, which Spark splits.
+broadcast; a hot host is a skewed join, which Spark splits, and rows without a host are dealt out.
 
 Defined cases: null and empty texts, and texts without word characters, are ``und``. Null labels
 teach nothing; with no labels at all every document is ``und``. Null addresses and hosts have no
@@ -43,6 +46,7 @@ UND = "und"
 _UND_PRIOR = 1e-3
 _BITS = 15
 _SPACE = np.where(WORD_BYTE, np.arange(256), 32).astype(np.uint32)
+_DOMAIN = r"([^.]+\.[^.]+)$"
 _DECLARED = r"""(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([a-z]{2,3})\b"""
 
 
@@ -139,36 +143,56 @@ def _scored(docs: DataFrame, model: np.ndarray, block_languages: int) -> DataFra
     return map_arrow(docs, run, f"{schema}, ll array<double>, post array<double>, guess int")
 
 
-def _judged(rows: DataFrame, corpus: np.ndarray, names: list[str], least: float) -> DataFrame:
-    """(_id, language, confidence, accepted) from the likelihoods, the host's prior and the evidence that there is."""
-    pieces = [c for c in rows.columns if c not in ("_id", "ll")]
+def _without(sums, own: np.ndarray) -> np.ndarray:
+    """Sums less a document's own part; none where there are no sums."""
+    return np.maximum(np.array(sums) - own, 0.0) if sums is not None else np.zeros(len(own))
+
+
+def _prior(host, domain, corpus: np.ndarray, own: np.ndarray, mass: float) -> np.ndarray:
+    """The host's prior from all its other documents, smoothed towards the domain's, and that towards the corpus's."""
+    everywhere = np.maximum(corpus - own, 0.0) + 1.0
+    prior = everywhere / everywhere.sum()
+    for sums in (_without(domain, own), _without(host, own)):
+        prior = (sums + mass * prior) / (sums.sum() + mass)
+    return prior
+
+
+def _judged(rows: DataFrame, corpus: np.ndarray, evidence: dict[str, tuple[np.ndarray, int]], names: list[str], least: float, mass: float) -> DataFrame:
+    """(_id, language, confidence, accepted) from the likelihoods, the priors and the evidence that there is, each without the document itself."""
+    place = {c: i for i, c in enumerate(rows.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("_id")
-            total = [x if x is None else np.array(x) for x in batch.column("ll").to_pylist()]
-            for c in pieces:
-                for i, x in enumerate(batch.column(c).to_pylist()):
-                    if total[i] is not None and (x is not None or c == "by_host"):
-                        total[i] = total[i] + (np.log(np.maximum(x if x is not None else corpus, 1e-9)) if c == "by_host" else np.array(x))
-            post = [None if x is None else _softmax(x[None])[0] for x in total]
-            language = [UND if x is None else names[int(x.argmax())] for x in post]
-            confidence = [1.0 if x is None else float(x.max()) for x in post]
+            ids = batch.column(place["_id"])
+            column = {c: batch.column(i).to_pylist() for c, i in place.items() if c != "_id"}
+            language, confidence = [], []
+            for i, ll in enumerate(column["ll"]):
+                if ll is None:
+                    language.append(UND)
+                    confidence.append(1.0)
+                    continue
+                own = np.array(column["post"][i])
+                total = np.array(ll) + np.log(_prior(column["by_host"][i], column["by_domain"][i], corpus, own, mass))
+                guess = np.zeros(len(own))
+                guess[column["guess"][i]] = 1
+                for c, (per_language, values) in evidence.items():
+                    if column[c][i] is not None:
+                        total += np.log((_without(column[c][i], guess) + 1) / (per_language - guess + values))
+                post = _softmax(total[None])[0]
+                language.append(names[int(post.argmax())])
+                confidence.append(float(post.max()))
             accepted = [name != UND and c >= least for name, c in zip(language, confidence)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(language, pa.string()), pa.array(confidence, pa.float64()), pa.array(accepted, pa.bool_())], names=["_id", "language", "confidence", "accepted"])
 
     return map_arrow(rows, run, "_id long, language string, confidence double, accepted boolean")
 
 
-def _evidence(scored: DataFrame, column: str, n: int, mass: float) -> DataFrame:
-    """(column, ev_<column>): logarithmic likelihood of each value under each language, by grouped counts of the text's best guess."""
-    pairs = scored.filter(F.col(column).isNotNull()).groupBy(column, "guess").agg(F.count("*").alias("c"))
-    per_language = {r["guess"]: r["c"] for r in pairs.groupBy("guess").agg(F.sum("c").alias("c")).collect()}
-    values = pairs.select(column).distinct().count()
-    wide = pairs.groupBy(column).agg(F.map_from_entries(F.collect_list(F.struct("guess", "c"))).alias("m"))
-    # Languages are few, so is a row's map.
-    log = [F.log((F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0)) + mass) / (per_language.get(i, 0) + mass * max(values, 1))) for i in range(n)]
-    return wide.select(column, F.array(*log).alias(f"ev{column}"))
+def _evidence(scored: DataFrame, column: str, n: int) -> tuple[DataFrame, np.ndarray, int]:
+    """(column, ev_<column>): how many documents of each best guess declare a value; how many any; how many values there are."""
+    counts = [F.count(F.when(F.col("guess") == i, 1)).cast("double") for i in range(n)]
+    own = cut(scored.filter(F.col(column).isNotNull()).groupBy(column).agg(F.array(*counts).alias(f"ev{column}")))
+    total = own.agg(F.count("*").alias("values"), *[F.coalesce(F.sum(F.col(f"ev{column}")[i]), F.lit(0.0)).alias(f"n{i}") for i in range(n)]).first()
+    return own, np.array([*total][1:], float), total[0]
 
 
 def _sums(scored: DataFrame, by: str, n: int) -> DataFrame:
@@ -176,11 +200,6 @@ def _sums(scored: DataFrame, by: str, n: int) -> DataFrame:
     return scored.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*[F.sum(F.col("post")[i]) for i in range(n)]).alias("s"))
 
 
-def _smoothed(own: Column, above: Column, mass: float) -> Column:
-    total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-    return F.zip_with(own, above, lambda x, y: (x + mass * y) / (total + mass))
-
-
 def identify(df: DataFrame, id_col: str, text_col: str, url_col: str | None = None, host_col: str | None = None, train: DataFrame | None = None, train_text: str = "text", train_label: str = "lang", least: float = 0.5, mass: float = 20.0, block_languages: int = 64) -> DataFrame:
     """(id, language, confidence, accepted). ``train`` holds labelled texts; hosts come from ``url_col`` or ``host_col``."""
     spark = df.sparkSession
@@ -202,24 +221,25 @@ def identify(df: DataFrame, id_col: str, text_col: str, url_col: str | None = No
     suffix = F.when(country != "", country).when(path != "", F.concat(F.lit("/"), path))
     rows = df.select(
         F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), host.alias("_host"),
-        F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("_domain"), F.when(declared != "", declared).alias("_declared"), suffix.alias("_suffix"),
+        F.regexp_extract(host, _DOMAIN, 1).alias("_domain"), F.when(declared != "", declared).alias("_declared"), suffix.alias("_suffix"),
     )
     scored = cut(_scored(rows, model, block_languages))
 
     total = scored.agg(*[F.coalesce(F.sum(F.col("post")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]).first()
-    corpus = np.array([*total], float) + 1.0
-    corpus = corpus / corpus.sum()
-    everywhere = F.array(*[F.lit(float(x)) for x in corpus])
-    domains = _sums(scored, "_domain", n).select("_domain", _smoothed(F.col("s"), everywhere, mass).alias("by_domain"))
-    hosts = _sums(scored, "_host", n).withColumn("_domain", F.regexp_extract("_host", r"([^.]+\.[^.]+)$", 1))
-    hosts = hosts.join(domains, "_domain", "left").select("_host", _smoothed(F.col("s"), F.coalesce("by_domain", everywhere), mass).alias("by_host"))
-    out = scored.select("_id", "ll", "_host", "_declared", "_suffix").join(cut(hosts), "_host", "left")
+    hosts = _sums(scored, "_host", n).withColumn("_domain", F.regexp_extract("_host", _DOMAIN, 1)).withColumnRenamed("s", "by_host")
+    hosts = cut(hosts.join(_sums(scored, "_domain", n).withColumnRenamed("s", "by_domain"), "_domain", "left").drop("_domain"))
+    # Rows without a host meet none; they are spread over many keys.
+    key = F.coalesce("_host", F.concat(F.lit("\0"), F.pmod(F.xxhash64("_id"), F.lit(4096)).cast("string")))
+    out = scored.withColumn("_key", key).join(hosts.withColumnRenamed("_host", "_key"), "_key", "left")
+    evidence = {}
     for column in ("_declared", "_suffix"):
-        found = scored.select(column, "guess").filter(F.col(column).isNotNull())
-        if not found.isEmpty():
-            out = out.join(cut(_evidence(found, column, n, 1.0)), column, "left")
-    out = out.drop("_host", "_declared", "_suffix")
-    return _judged(out, corpus, names, least).withColumnRenamed("_id", id_col)
+        counts, per_language, values = _evidence(scored, column, n)
+        if values:
+            # Declared codes and suffixes are words of two or three letters: tables of at most some ten thousand rows.
+            out = out.join(F.broadcast(counts), column, "left")
+            evidence[f"ev{column}"] = (per_language, values)
+    out = out.select("_id", "ll", "post", "guess", "by_host", "by_domain", *evidence)
+    return _judged(out, np.array([*total], float), evidence, names, least, mass).withColumnRenamed("_id", id_col)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -91,3 +94,65 @@ def test_every_label_is_learned(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in identify(df, "doc_id", "text").collect()}
     assert all(got[i].language == lang and got[i].accepted for i, _, lang in rows)
+
+
+def brute_identify(rows, train, mass=20.0):
+    """(id: language, confidence) in plain Python: likelihoods, then priors and evidence from all other documents."""
+    names = sorted({lang for _, _, lang, _ in train if lang is not None})
+    counts = {lang: Counter(s for _, t, x, _ in train if x == lang and t is not None for s in brute_slots(t)) for lang in names}
+    slots, n = 1 << _BITS, len(names) + 1
+    norm = {lang: sum(c.values()) + 0.5 * slots for lang, c in counts.items()}
+
+    def softmax(x):
+        w = [math.exp(v - max(x)) for v in x]
+        return [v / sum(w) for v in w]
+
+    ll, post = {}, {}
+    for i, _, text in rows:
+        if got := brute_slots(text):
+            ll[i] = [sum(math.log((counts[lang][s] + 0.5) / norm[lang]) for s in got) / 3 for lang in names] + [-len(got) * math.log(slots) / 3]
+            post[i] = softmax([v + math.log((1 - 1e-3) / (n - 1) if j < n - 1 else 1e-3) for j, v in enumerate(ll[i])])
+    host = {i: (re.match(r"(?:\w+:)?//([^/?#:]*)", u or "") or [None, ""])[1].lower() for i, u, _ in rows}
+    domain = {i: ".".join(h.split(".")[-2:]) if "." in h else "" for i, h in host.items()}
+    declared = {i: (re.search(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([a-z]{2,3})\b", t or "", re.I) or [None, ""])[1].lower() for i, _, t in rows}
+    suffix = {i: (re.search(r"\.([a-z]{2})$", h) or [None, ""])[1] for i, h in host.items()}
+    out = {}
+    for i, _, _ in rows:
+        if i not in ll:
+            out[i] = ("und", 1.0)
+            continue
+        others = [j for j in post if j != i]
+        prior = [1 + sum(post[j][k] for j in others) for k in range(n)]
+        prior = [v / sum(prior) for v in prior]
+        for of in (domain, host):
+            sums = [sum(post[j][k] for j in others if host[i] and of[j] == of[i]) for k in range(n)]
+            prior = [(a + mass * b) / (sum(sums) + mass) for a, b in zip(sums, prior)]
+        total = [a + math.log(b) for a, b in zip(ll[i], prior)]
+        for of in (declared, suffix):
+            values = len({v for v in of.values() if v})
+            if of[i]:
+                for k in range(n):
+                    guessed = [j for j in others if of[j] and post[j].index(max(post[j])) == k]
+                    total[k] += math.log((sum(of[j] == of[i] for j in guessed) + 1) / (len(guessed) + values))
+        last = softmax(total)
+        out[i] = ([*names, "und"][last.index(max(last))], max(last))
+    return out
+
+
+def test_fusion_equals_brute_force(spark):
+    rng = random.Random(12)
+    train = corpus(60, seed=2)
+    rows = []
+    for i in range(90):
+        lang = rng.choice(sorted(WORDS))
+        text = " ".join(rng.choice(WORDS[rng.choice([lang, lang, rng.choice(sorted(WORDS))])]) for _ in range(rng.choice([0, 1, 1, 2, 6])))
+        html = rng.choice([f"<html lang='{lang}'>{text}", text])
+        rows.append((i, rng.choice([None, f"http://{lang}.site.example/x", f"http://www.news.{lang}/", f"http://solo{i}.{lang}/"]), html))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = spark.createDataFrame(train, "doc_id long, text string, lang string, source string")
+    want = brute_identify(rows, train)
+    got = {r.page_id: (r.language, r.confidence) for r in identify(df, "page_id", "html", url_col="url", train=model).collect()}
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
+    # Evidence beside the text changes answers here.
+    alone = brute_identify([(i, None, t if "<html" not in t else t.split(">", 1)[1]) for i, _, t in rows], train)
+    assert sum(alone[i][0] != want[i][0] for i in want) > 3
