@@ -86,12 +86,13 @@ def _places(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]
 
 def pack(pieces: DataFrame, capacity: int = 2048, order_by: tuple[str, ...] = ("doc_id", "start"), slice_rows: int = 20_000) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``."""
-    pieces = cut(pieces)
+    # Pieces that agree in all of ``order_by`` are dealt out by the partition that they were made in.
+    pieces = cut(pieces.withColumn("_made", F.spark_partition_id()))
     sizes = pieces.groupBy("length").count().collect()
     counts = {r["length"]: r["count"] for r in sizes}
     places = _places(min_bin_slack(counts, capacity))
     slices = max(64, math.ceil(sum(counts.values()) / slice_rows))
-    pieces = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order_by), F.lit(slices)))
+    pieces = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order_by, "_made"), F.lit(slices)))
     by_slice = pieces.groupBy("length", "_slice").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
     by_slice = by_slice.select("length", "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -110,7 +111,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, order_by: tuple[str, ...] = ("
                 offset[at] = off + (rank[at] - first) % c * size
             yield x.assign(sequence_id=sequence, offset=offset)
 
-    kept = [c for c in ranked.columns if c not in ("_slice", "_before")]
+    kept = [c for c in ranked.columns if c not in ("_slice", "_before", "_made")]
     ranked = ranked.select(kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
     return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")

@@ -18,11 +18,12 @@ replaces it by the same bytes. The manifest (a row a shard) gives the running st
 
 Defined cases: null texts are empty documents and hold the end id alone. Rows with a null key have
 no place in a keyed file and are left out. Rows that repeat a key are all kept, in order of their
-text. An empty table writes no shard. Other columns are ignored.
+text's hash and text, in as many ranges as they fill. An empty table writes no shard. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import uuid
@@ -80,10 +81,16 @@ def _bloom_probes(key: bytes, bits: int) -> list[int]:
     return [(a + i * (b | 1)) % bits for i in range(_PROBES)]
 
 
+#: Schemes of Hadoop's connectors and what the same stores are called in Arrow.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "viewfs": "hdfs"}
+
+
 def _file(uri: str):
+    """Arrow's file system for a folder as Spark names it: local, S3, Google, Azure, or HDFS where libhdfs is installed."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{colon}{rest}")
 
 
 class ShardWriter:
@@ -133,11 +140,17 @@ class ShardWriter:
         footer = _FOOTER.pack(self.offset, len(index), self.offset + len(index), len(bloom), len(self.keys), self.tokens, self.keys[0], self.keys[-1], self.width, _PROBES, zlib.crc32(index + bytes(bloom)), MAGIC)
         fs, path = _file(uri)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
-        with fs.open_output_stream(temporary := f"{path}.{uuid.uuid4().hex}.tmp") as out:
-            for raw in self.done:
-                out.write(raw)
-            out.write(index + bytes(bloom) + footer)
-        fs.move(temporary, path)
+        temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+        try:
+            with fs.open_output_stream(temporary) as out:
+                for raw in self.done:
+                    out.write(raw)
+                out.write(index + bytes(bloom) + footer)
+            fs.move(temporary, path)
+        except BaseException:
+            with contextlib.suppress(OSError):
+                fs.delete_file(temporary)
+            raise
         return self.offset + len(index) + len(bloom) + len(footer)
 
 
@@ -218,8 +231,8 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int = 0, shards:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.string()), *((c, pa.int64()) for c in ("first_id", "last_id", "documents", "tokens", "bytes"))]))
 
     n = shards or partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return cut(map_arrow(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text"), run, MANIFEST))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).filter("doc_id IS NOT NULL")
+    return cut(map_arrow(rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text"), run, MANIFEST))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
