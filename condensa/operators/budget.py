@@ -41,7 +41,6 @@ def allocate(scored: DataFrame, budget: int, ratios: dict[str, float] | None = N
     return out.withColumn("entry_budget", entry.cast("long")).drop("_sum")
 
 
-def halved(budget):
-    """Half of a budget; none where that is 0."""
-    half = F.floor(budget / 2)
-    return F.when(half > 0, half)
+def halved(budget: int | None) -> int | None:
+    """What a template's first and last entry get each: half of its budget, none where there is no budget."""
+    return budget // 2 if budget else None

@@ -14,21 +14,30 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 
+def statuses(entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(scope, idx, status) of the first entries of their canonical form: unique, or near (their normal form came before). All others are exact.
 
-def _firsts(entries: DataFrame, key: str, scope: list[str]) -> DataFrame:
-    return entries.groupBy(*scope, F.sha2(F.col(key), 256).alias("_key")).agg(F.min("idx").alias("idx")).select(*scope, "idx")
+    Only places and digests are grouped and joined; bodies stay where they are.
+    """
+    scope = scope or []
+    digest = lambda c: F.unhex(F.sha2(F.col(c), 256))
+    own = entries.select(*scope, "idx", digest("canon").alias("_exact"), digest("norm").alias("_near"))
+    first = cut(own.groupBy(*scope, "_exact").agg(F.min(F.struct("idx", "_near")).alias("x")).select(*scope, "x.*"))
+    near = first.filter("_near IS NOT NULL").groupBy(*scope, "_near").agg(F.min("idx").alias("idx")).select(*scope, "idx", F.lit(True).alias("_own"))
+    status = F.when(F.col("_near").isNotNull() & F.col("_own").isNull(), "near").otherwise("unique")
+    return first.join(near, [*scope, "idx"], "left").select(*scope, "idx", status.alias("status"))
 
 
 def classify(entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """Adds ``status``: unique, exact (its canonical form came before) or near (first of its form, but not of its normal form)."""
     scope = scope or []
-    on = [*scope, "idx"]
-    first = _firsts(entries, "canon", scope).withColumn("_first", F.lit(True))
-    marked = entries.join(first, on, "left")
-    near = _firsts(marked.filter("_first AND norm IS NOT NULL"), "norm", scope).withColumn("_own", F.lit(True))
-    marked = marked.join(near, on, "left")
-    status = F.when(F.col("_first").isNull(), "exact").when(F.col("norm").isNotNull() & F.col("_own").isNull(), "near").otherwise("unique")
-    return marked.withColumn("status", status).drop("_first", "_own")
+    return entries.join(statuses(entries, scope), [*scope, "idx"], "left").withColumn("status", F.coalesce("status", F.lit("exact")))
+
+
+def unique(entries: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """The entries that are unique; others are left out before their bodies are moved."""
+    scope = scope or []
+    return entries.join(statuses(entries, scope).filter("status = 'unique'").drop("status"), [*scope, "idx"], "left_semi")
 
 
 def dedup_stats(classified: DataFrame, templates_removed: DataFrame | None = None) -> DataFrame:

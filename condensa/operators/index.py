@@ -13,17 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rational_sigmoid, words
-from ..runtime import cut
+from ..runtime import stored
 
 K1, B = 1.5, 0.75
 
 
 def postings_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc).alias("doc"), F.explode(words(text)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    """(doc, term, tf). Texts are dealt out by document, so words are counted where they are split; they are never shuffled."""
+    return docs.select(doc, text).repartition(F.col(doc)).select(F.col(doc).alias("doc"), F.explode(words(text)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
-def lengths_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc).alias("doc"), F.size(words(F.coalesce(F.col(text), F.lit("")))).cast("long").alias("dl"))
+def lengths_of(docs: DataFrame, postings: DataFrame, doc: str) -> DataFrame:
+    """(doc, dl) of every document, 0 for those without words; texts are not read again."""
+    sums = postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
+    return docs.select(F.col(doc).alias("doc")).join(sums, "doc", "left").select("doc", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
 
 
 def idf(df: Column, n: Column | int) -> Column:
@@ -91,12 +94,13 @@ class Index:
 
 
 def build(documents: DataFrame, doc: str, text: str) -> Index:
-    """The index of a corpus; postings are written once, for they are read several times."""
-    docs = lengths_of(documents, doc, text)
+    """The index of a corpus. Texts are split once; postings, documents and terms are written, for they are read several times."""
+    postings = stored(postings_of(documents, doc, text))
+    docs = stored(lengths_of(documents, postings, doc))
     size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
     n, average = size["n"], float(size["average"] or 0.0)
-    postings = cut(postings_of(documents, doc, text))
     terms = informativeness(postings, n).withColumn("idf", idf(F.col("df"), n))
+    terms = stored(terms)
     top = float(terms.agg(F.max("idf")).first()[0] or 1.0)
     terms = terms.withColumn("gamma", F.col("idf") / top).withColumn("eidf", F.col("idf") * (1 + F.col("gamma") * F.col("info")))
     return Index(docs, postings, terms, n, average, top)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,17 @@ class Matcher:
         return out
 
 
+    def holds(self, path: str, value) -> bool:
+        """``column`` for one value of JSON."""
+        size = len(value) if isinstance(value, str) else None
+        return (
+            (self.path is None or path == self.path or path.startswith(self.path + "."))
+            and (self.pattern is None or re.search(self.pattern, path.rpartition(".")[2]) is not None)
+            and (self.min_length is None or size is None or size >= self.min_length)
+            and (self.max_length is None or size is None or size <= self.max_length)
+        )
+
+
 @dataclass(frozen=True)
 class Rule:
     matcher: Matcher
@@ -80,6 +92,16 @@ def route(path: Column, value: Column, is_string: Column, routing: Routing) -> C
     return out
 
 
+def chosen(path: str, value, routing: Routing) -> tuple[str, int | None]:
+    """Action and budget of one value of JSON, by the rules of ``route`` and ``route_budget``."""
+    if not routing.enabled:
+        return "passthrough", None
+    if any(m.holds(path, value) for m in routing.preserve):
+        return "preserve", None
+    rule = next((r for r in routing.rules if r.matcher.holds(path, value)), None)
+    return (rule.action, rule.budget) if rule else (routing.default or "passthrough", None)
+
+
 def route_budget(path: Column, value: Column, is_string: Column, routing: Routing) -> Column:
     """The budget of the rule whose action ``route`` gives."""
     out = F.lit(None).cast("int")

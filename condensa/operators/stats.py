@@ -1,7 +1,7 @@
 """Statistics of a column of scores: inequality, correlation, middle and spread, knee, cut points.
 
 Order statistics are elements of the sorted column, not interpolations. Ranks come from
-``runtime.ranked``, which needs no task to hold the column.
+``runtime.ranked_values``, which needs no task to hold the column or all copies of a value.
 """
 
 from __future__ import annotations
@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ranked
+from ..runtime import cut, ranked_values
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
     """One row: 1 - 2 * sum(running sums) / (n * sum) + 1 / n; 0 for under two values or none but zeros."""
-    own = ranked(df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL"), "v")
+    own = ranked_values(df, value)
     # Each value is in n - rank + 1 running sums, so sum(running sums) = (n + 1) * sum(v) - sum(rank * v).
-    a = own.agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.col("rank") * F.col("v")).alias("r"))
+    c = F.col("copies")
+    a = own.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.sum(c * F.col("v")).alias("s"), F.sum((c * F.col("first") + c * (c - 1) / 2) * F.col("v")).alias("r"))
     n, s = F.col("n").cast("double"), F.col("s")
     value_of = 1 - 2 * ((n + 1) * s - F.col("r")) / (n * s) + 1 / n
     return a.select(F.when((F.col("n") < 2) | (s == 0) | s.isNull(), 0.0).otherwise(value_of).alias("gini"))
@@ -32,12 +33,13 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def _element(df: DataFrame, value: str, shares: dict[str, float]) -> tuple[int, dict[str, float]]:
     """Elements int(n * share) of the sorted column."""
-    own = ranked(df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL"), "v")
-    n = own.count()
+    own = cut(ranked_values(df, value))
+    n = own.agg(F.sum("copies")).first()[0]
     if not n:
         return 0, {}
     at = {name: min(n, int(n * share) + 1) for name, share in shares.items()}
-    row = own.filter(F.col("rank").isin(sorted(set(at.values())))).agg(*[F.max(F.when(F.col("rank") == r, F.col("v"))).alias(k) for k, r in at.items()]).first()
+    holds = lambda r: (F.col("first") <= r) & (F.lit(r) < F.col("first") + F.col("copies"))
+    row = own.agg(*[F.max(F.when(holds(r), F.col("v"))).alias(k) for k, r in at.items()]).first()
     return n, row.asDict()
 
 
@@ -77,15 +79,19 @@ def kneedle(df: DataFrame, value: str, sensitivity: float = 1.0) -> DataFrame:
     d = y - (1 - x) with both axes scaled to 1; the best place is the first maximum among all but
     the last, and the knee the first later place whose d falls below it by sensitivity * range / n.
     """
-    own = ranked(df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL").withColumn("_down", -F.col("v")), "_down").select("v", (F.col("rank") - 1).alias("i"))
-    size = own.agg(F.count("*").alias("n"), F.max("v").alias("high"), F.min("v").alias("low")).first()
+    down = ranked_values(df.select((-F.col(value).cast("double")).alias("_down")), "_down")
+    own = cut(down.select((-F.col("v")).alias("v"), "copies", (F.col("first") - 1).alias("first")))
+    size = own.agg(F.sum("copies").alias("n"), F.max("v").alias("high"), F.min("v").alias("low")).first()
     n, spark = size["n"], df.sparkSession
     if not n:
         return spark.createDataFrame([], "knee long")
     if n < 3 or size["high"] - size["low"] < 1e-10:
         return spark.createDataFrame([(n - 1,)], "knee long")
     spread = size["high"] - size["low"]
-    d = own.withColumn("d", (F.col("v") - size["low"]) / spread - (1 - F.col("i") / (n - 1)))
-    best = d.filter(F.col("i") <= n - 2).agg(F.max(F.struct("d", (-F.col("i")).alias("i"))).alias("x")).select("x.d", (-F.col("x.i")).alias("i")).first()
-    later = d.filter((F.col("i") > best["i"]) & (F.col("d") < best["d"] - sensitivity * spread / n)).agg(F.min("i").alias("i")).first()["i"]
+    at = lambda i: (F.col("v") - size["low"]) / spread - (1 - i / (n - 1))
+    # Among equal values d grows with the place: the last of them is the greatest, the first the least.
+    last = own.filter(F.col("first") <= n - 2).withColumn("i", F.least(F.col("first") + F.col("copies") - 1, F.lit(n - 2)))
+    best = last.withColumn("d", at(F.col("i"))).agg(F.max(F.struct("d", (-F.col("i")).alias("i"))).alias("x")).select("x.d", (-F.col("x.i")).alias("i")).first()
+    after = own.withColumn("i", F.col("first")).filter(F.col("i") > best["i"])
+    later = after.filter(at(F.col("i")) < best["d"] - sensitivity * spread / n).agg(F.min("i").alias("i")).first()["i"]
     return spark.createDataFrame([(best["i"] if later is None else later,)], "knee long")
