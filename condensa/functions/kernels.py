@@ -132,7 +132,7 @@ def position_prior(degree: np.ndarray) -> np.ndarray:
     return 1 + strength * np.exp(-i / max(0.1 * n, 1)) + 0.3 * np.exp(-(n - 1 - i) / max(0.05 * n, 1))
 
 
-def page_rank(sim: np.ndarray, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def page_rank(sim: np.ndarray, prior: np.ndarray, rounds: int = ROUNDS, epsilon: float | None = EPSILON) -> np.ndarray:
     p = prior / prior.sum()
     degree = sim.sum(axis=1)
     step = np.divide(sim, degree[:, None], out=np.zeros_like(sim), where=degree[:, None] > 0)
@@ -141,7 +141,7 @@ def page_rank(sim: np.ndarray, prior: np.ndarray, rounds: int = ROUNDS) -> np.nd
         new = (1 - DAMPING) * p + DAMPING * (rank[degree == 0].sum() * p + rank @ step)
         moved = np.abs(new - rank).sum()
         rank = new
-        if moved < EPSILON:
+        if epsilon is not None and moved < epsilon:
             break
     return rank
 

@@ -6,6 +6,7 @@ Many small corpora, as the turns of conversations: one grouped function call a c
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,8 +81,33 @@ def _words(c: str):
     return words(c)
 
 
+#: Texts whose graph one task holds as a matrix (8 MB).
+SMALL_GRAPH = 1000
+
+
+def _small_page_rank(links: DataFrame, priors: DataFrame, rounds: int, epsilon: float | None) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, sides = pdf[pdf.j.isna()].sort_values("doc"), pdf[pdf.j.notna()]
+        place = {d: k for k, d in enumerate(nodes.doc)}
+        sim = np.zeros((len(nodes), len(nodes)))
+        i, j = sides.doc.map(place).to_numpy(), sides.j.map(place).to_numpy()
+        sim[i, j] = sim[j, i] = sides.x.to_numpy()
+        rank = kernels.page_rank(sim, nodes.x.to_numpy(), rounds, epsilon)
+        return pd.DataFrame({"doc": nodes.doc, "rank": rank / (rank.max() or 1.0)})
+
+    kind = dict(priors.dtypes)["doc"]
+    rows = priors.select("doc", F.lit(None).cast(kind).alias("j"), F.col("prior").alias("x")).union(links.select("i", "j", "sim"))
+    return rows.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, f"doc {kind}, rank double")
+
+
 def page_rank(links: DataFrame, priors: DataFrame, rounds: int = kernels.ROUNDS, epsilon: float | None = kernels.EPSILON, every: int = 5) -> DataFrame:
-    """(doc, rank), the largest is 1, by rounds of joins; lineage is cut every few rounds. Without ``epsilon`` all rounds are run."""
+    """(doc, rank), the largest is 1. Without ``epsilon`` all rounds are run.
+
+    A graph of at most ``SMALL_GRAPH`` texts, which has at most half its square of edges, is one group's
+    matrix; beyond that it is rounds of joins, whose lineage is cut every few rounds.
+    """
+    if priors.limit(SMALL_GRAPH + 1).count() <= SMALL_GRAPH:
+        return _small_page_rank(links, priors, rounds, epsilon)
     total = priors.agg(F.sum("prior")).first()[0] or 1.0
     start = cut(priors.select("doc", (F.col("prior") / total).alias("p")))
     both = both_ways(links)

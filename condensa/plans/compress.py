@@ -166,7 +166,7 @@ def scored_entries(entries: DataFrame, options: Options) -> DataFrame:
     asked = f"{options.query} {excerpt[:QUERY_CORE]}" if options.query else excerpt[:CORE_TEXT]
     whole = whole or index.build(texts, "idx", "text")
     hits = whole.search(entries.sparkSession.createDataFrame([(0, asked)], "q long, t string"), "q", "t", top_k=None).select(F.col("doc").alias("idx"), F.col("score").alias("relevance"))
-    both = central.join(hits, "idx", "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
+    both = cut(central.join(hits, "idx", "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0))))
     blended = cut(scoring.blend(both, "self", "relevance"))
     return scoring.tiers(blended, "final").select("idx", F.col("final").alias("score"), "tier", "is_core")
 
