@@ -1,8 +1,11 @@
 """From raw documents to packed training sequences: language, near copies, benchmark, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on every row it is given, and returns the columns of
-``documents``; the last returns pieces of packed sequences. Rows with a null doc_id can't be named
-by a stage's decision and are dropped by the stages that decide by id (language, near copies).
+``documents``; the last returns pieces of packed sequences.
+
+Defined cases: rows whose doc_id is null or repeated are judged one by one, by a hash of all their
+columns in place of the id; of rows that are equal in all columns the near-copy stage keeps one. Null
+texts are no language, so they go first. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -24,34 +27,50 @@ BROADCAST_IDS = 1_000_000
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for those with these ids; copies of an id in ``ids`` are no matter."""
-    gone = cut(ids.select(F.col("doc_id").alias("_gone")).filter("_gone IS NOT NULL").distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.filter("doc_id IS NOT NULL").join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, one row an id, for a join: broadcast up to ``BROADCAST_IDS`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the doc_id, or where that is null or repeated (``_odd``) a hash of the row."""
+    odd = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_odd")))
+    plain = F.col("doc_id").cast("long")
+    if odd.isEmpty():
+        return docs.withColumns({"_odd": F.lit(False), "_key": plain})
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd
+    marked = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_odd", F.coalesce("_odd", F.lit(False)))
+    return marked.withColumn("_key", F.when(F.col("_odd"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).otherwise(plain)).drop("_id")
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows but for those with these keys."""
+    return keyed.join(_small(keys.toDF("_gone").distinct()), F.col("_key") == F.col("_gone"), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows."""
-    judged = identify(docs, "doc_id", "text", host_col="source")
-    return _without(docs, judged.filter("NOT accepted"))
+    keyed = _keyed(docs)
+    judged = identify(keyed, "_key", "text", host_col="source")
+    return _without(keyed, judged.filter("NOT accepted").select("_key")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each class of near copies; rows that repeat an id go with their class, so the first text of an id stays."""
-    classes = near_duplicates(docs)
-    kept = _without(docs, classes.filter("doc_id <> class_id"))
-    repeated = cut(kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")))
-    if repeated.isEmpty():
-        return kept
-    first = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_row", F.struct(*kept.columns))
-    first = first.groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
-    return kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(first)
+    """One document, that with the least id, of each class of near copies."""
+    keyed = _keyed(docs)
+    classes = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    kept = _without(keyed, classes.filter("doc_id <> class_id").select("doc_id"))
+    # Rows that are equal in all columns share a key.
+    once = kept.filter("_odd").select(docs.columns).distinct()
+    return kept.filter("NOT _odd").select(docs.columns).unionByName(once)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return _without(docs, find_passages(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    keyed = _keyed(docs)
+    found = find_passages(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(keyed, found.select("doc_id")).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

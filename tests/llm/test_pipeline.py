@@ -16,7 +16,9 @@ def test_stages_take_effect(spark, tmp_path):
     rows.append((101, rows[5][1] + " extra", "en", "s", 0))
     rows.append((102, say(30) + " " + item + " " + say(30), "en", "s", 0))
     rows.append((103, say(20) + " token = \"f33e61083db5dbdf4bd2369d2f80176e57f7fda2\" " + say(9), "en", "s", 0))
-    rows += [(104, None, "en", "s", 0), (105, "", None, None, None), (None, say(50), "en", "s", 0), (7, say(50), "en", "s", 0)]
+    rows += [(104, None, "en", "s", 0), (105, "", None, None, None), (None, say(50), "en", "s", 0), (None, say(50), "en", "s", 0), (7, say(50), "en", "s", 0)]
+    # Equal in all columns, and without an id: one of them stays.
+    rows.append(rows[-2])
     rows = [(a, t, c, d, len(t or "")) for a, t, c, d, _ in rows]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -26,15 +28,17 @@ def test_stages_take_effect(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         assert docs.columns == columns
-        ids.append(sorted(r.doc_id for r in docs.collect()))
-    every = sorted(x for x in [r[0] for r in rows] if x is not None)
+        ids.append(sorted((-1 if r.doc_id is None else r.doc_id) for r in docs.collect()))
+    # Rows without an id of their own are judged like others: that without an id stays (as -1), and both with the id 7.
+    every = sorted(-1 if r[0] is None else r[0] for r in rows)
+    assert every.count(-1) == 3 and every.count(7) == 2
     assert ids[0] == [x for x in every if x not in (104, 105)]
-    assert ids[1] == sorted(set(ids[0]) - {100, 101})
-    assert ids[2] == ids[3] == sorted(set(ids[1]) - {102})
+    assert ids[1] == sorted([x for x in ids[0] if x not in (-1, 100, 101)] + [-1, -1])
+    assert ids[2] == ids[3] == [x for x in ids[1] if x != 102]
     masked = {r.doc_id: r for r in docs.collect()}[103]
     assert "f33e" not in masked.text and "[SECRET]" in masked.text and masked.n_chars == len(masked.text)
     packed = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
-    assert {r.doc_id for r in packed} == set(ids[3])
+    assert sorted({-1 if r.doc_id is None else r.doc_id for r in packed}) == sorted(set(ids[3]))
     assert {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect()} == {(r.doc_id, r.start, r.length, r.ids_crc32) for r in packed}
 
 
