@@ -231,8 +231,12 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int = 0, shards:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.string()), *((c, pa.int64()) for c in ("first_id", "last_id", "documents", "tokens", "bytes"))]))
 
     n = shards or partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash")).filter("doc_id IS NOT NULL")
-    return cut(map_arrow(rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text"), run, MANIFEST))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+    order = ["doc_id"]
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        # Texts are hashed only where an id alone doesn't tell rows apart.
+        rows, order = rows.withColumn("hash", F.xxhash64("text")), ["doc_id", "hash"]
+    return cut(map_arrow(rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text"), run, MANIFEST))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
