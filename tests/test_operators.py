@@ -62,7 +62,7 @@ def test_ranks(spark):
     assert [x[1:] for x in got] == sorted((i % 7, i) for i in range(500)) and [x[0] for x in got] == list(range(1, 501))
 
 
-def test_index_equals_kernel(spark):
+def test_index_equals_kernel(spark, monkeypatch):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta été".split()) for _ in range(rng.randint(0, 12))) for _ in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
@@ -81,9 +81,12 @@ def test_index_equals_kernel(spark):
     degree = graph.degrees(graph.edges(own), own.docs)
     prior = {r.doc: r.prior for r in graph.prior(degree).collect()}
     assert np.allclose([prior[i] for i in range(30)], kernels.position_prior(sim.sum(axis=1)))
-    rank = {r.doc: r["rank"] for r in graph.page_rank(graph.edges(own), graph.prior(degree), rounds=8, epsilon=None).collect()}
-    want = kernels.page_rank(sim, kernels.position_prior(sim.sum(axis=1)), 8)
-    assert np.allclose([rank[i] for i in range(30)], want / want.max(), atol=2e-4)
+    want = kernels.page_rank(sim, kernels.position_prior(sim.sum(axis=1)), 8, None)
+    # As one matrix, and by rounds of joins.
+    for small in (graph.SMALL_GRAPH, 0):
+        monkeypatch.setattr(graph, "SMALL_GRAPH", small)
+        rank = {r.doc: r["rank"] for r in graph.page_rank(graph.edges(own), graph.prior(degree), rounds=8, epsilon=None).collect()}
+        assert np.allclose([rank[i] for i in range(30)], want / want.max(), atol=1e-6)
 
 
 def test_update_of_the_corpus(spark):
