@@ -33,13 +33,18 @@ def masked_numbers(canon: Column) -> Column:
     return F.regexp_replace(canon, number, '"<NUM>"')
 
 
-def from_json(df: DataFrame, idx: str, body: str) -> DataFrame:
-    """Entries of a column of JSON texts: idx, etype, canon, norm, body. Text that isn't JSON is a string."""
+def forms(body: str) -> tuple[Column, Column, Column]:
+    """etype, canon and norm of a column of JSON texts. Text that isn't JSON is a string."""
     canon = canonical_json(body)
     kind = F.when(canon.isNull(), "string").otherwise(etype(canon))
     form = F.coalesce(canon, F.col(body))
-    norm = F.when(kind == "dict", normalized(masked_numbers(form))).when(kind == "string", normalized(F.col(body)))
-    return df.select(F.col(idx).alias("idx"), kind.alias("etype"), form.alias("canon"), norm.alias("norm"), F.col(body).alias("body"))
+    return kind, form, F.when(kind == "dict", normalized(masked_numbers(form))).when(kind == "string", normalized(F.col(body)))
+
+
+def from_json(df: DataFrame, idx: str, body: str) -> DataFrame:
+    """Entries of a column of JSON texts: idx, etype, canon, norm, body."""
+    kind, canon, norm = forms(body)
+    return df.select(F.col(idx).alias("idx"), kind.alias("etype"), canon.alias("canon"), norm.alias("norm"), F.col(body).alias("body"))
 
 
 def from_table(df: DataFrame, idx: str) -> DataFrame:

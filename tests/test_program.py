@@ -107,6 +107,57 @@ def test_stream(spark, tmp_path, size, want):
     assert sorted(t for _, t in got) == sorted(want)
 
 
+def run_stream(spark, at, rows, schema, plan):
+    """What ``plan`` makes of a stream over ``rows``, which arrive in order."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        plan(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.parquet(f"{at}/out").orderBy("n").collect()
+
+
+FED = [
+    ("s", 0, 1, '{"id": 1, "data": [1, 2, 3, 4, 5, 6, 7]}', False),
+    ("s", 1, 1, "at 10.0.0.1", False),
+    ("s", 2, 1, "at 10.0.0.2", False),
+    ("s", 3, 2, '{"data": [1, 2, 3, 4, 5, 6, 7], "id": 1}', False),
+    ("t", 4, 1, "at 10.0.0.1", False),
+    ("s", 5, 2, None, True),
+    ("s", 6, 2, "at 10.0.0.1", False),
+    ("s", 7, 2, None, None),
+    ("s", 8, 2, None, False),
+]
+
+
+@pytest.mark.parametrize("scope, want", [("session", [0, 1, 4, 6, 7, 8]), ("turn", [0, 1, 3, 4, 6, 7, 8]), ("none", [0, 1, 2, 3, 4, 6, 7, 8])])
+def test_feed(spark, tmp_path, scope, want):
+    schema = "session string, n long, turn long, body string, fresh boolean"
+    got = run_stream(spark, tmp_path, FED, schema, lambda s: session_dedup.feed(s, "session", "body", scope, "turn", reset="fresh"))
+    assert [r.n for r in got] == want and got[0].session == "s" and got[0].turn == 1
+    out = {r.n: r.output for r in got}
+    assert json.loads(out[0])["data"]["count"] == 7 and out[1] == "at 10.0.0.1" and out[7] is None
+
+
+def test_feed_refuses(spark):
+    df = spark.createDataFrame([("s", "x")], "session string, body string")
+    for bad in ({"scope": "day"}, {"scope": "turn"}):
+        with pytest.raises(ValueError):
+            session_dedup.feed(df, "session", "body", **bad)
+    with pytest.raises(ValueError, match="size"):
+        session_dedup.dedup(df, "session", "body", reset="fresh")
+
+
+def test_exact_and_near_forms_are_bounded_apart(spark, tmp_path):
+    texts = ["a 10.0.0.1", "a 10.0.0.2", "a 10.0.0.3", "b", "a 10.0.0.1", "a 10.0.0.9"]
+    # Exact forms are forgotten after two others; the near form they share is not, so only "b" is new.
+    rows = [("s", i, t) for i, t in enumerate(texts)]
+    got = run_stream(spark, tmp_path, rows, "session string, n long, body string", lambda s: session_dedup.feed(s, "session", "body", size=2).drop("output"))
+    assert [r.n for r in got] == [0, 3]
+
+
 def test_sql_names(spark):
     assert "condensa_compress" in register(spark)
     assert len(spark.sql("SELECT condensa_compress(repeat('word ', 100), 60) AS x").first().x) <= 60
