@@ -1,13 +1,13 @@
 """An inverted index with entropy-weighted lexical retrieval.
 
-``postings`` has (doc, term, tf), ``docs`` has (doc, dl) with empty documents too, ``term_stats``
-has a row a term. Scalars of the corpus (documents, mean length, largest idf) are one aggregate
-row. All is grouped aggregation and equi-joins on the term.
+``postings`` has (doc, term, tf), ``docs`` has (doc, dl) with empty documents too, ``terms`` has a
+row a term with its weights, which follow from ``sums``. Scalars of the corpus (documents, mean
+length, largest idf) are one aggregate row. All is grouped aggregation and equi-joins on the term.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,15 +33,19 @@ def idf(df: Column, n: Column | int) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def informativeness(postings: DataFrame, n: int) -> DataFrame:
-    """(term, df, cf, info): how unevenly a term's occurrences spread over its documents.
+def term_sums(postings: DataFrame) -> DataFrame:
+    """(term, df, cf, v, s, t): what a term's weight needs of its postings, by one aggregation.
 
-    The entropy of p = m / sum(m) is ln(sum m) - sum(m ln m) / sum(m), so one aggregation does.
+    The entropy of p = m / sum(m) is ln(sum m) - sum(m ln m) / sum(m); s and t are the two sums.
     """
     m = rational_sigmoid(F.col("tf").cast("double"))
-    sums = postings.withColumn("_m", m).groupBy("term").agg(
+    return postings.withColumn("_m", m).groupBy("term").agg(
         F.count("*").alias("df"), F.sum("tf").alias("cf"), F.var_pop("tf").alias("v"), F.sum("_m").alias("s"), F.sum(F.col("_m") * F.log("_m")).alias("t"),
     )
+
+
+def informativeness(sums: DataFrame, n: int) -> DataFrame:
+    """(term, df, cf, info): how unevenly a term's occurrences spread over its documents."""
     entropy = F.log("s") - F.col("t") / F.col("s")
     shannon = F.greatest(F.lit(0.0), 1 - F.least(entropy / F.log(F.greatest(F.col("df"), F.lit(2))), F.lit(1.0)))
     alpha = F.col("v") / (F.col("v") + 1)
@@ -58,6 +62,7 @@ class Index:
     n: int
     average: float
     idf_max: float
+    sums: DataFrame
 
     def stats(self) -> DataFrame:
         """One row: documents, vocabulary, mean length."""
@@ -93,24 +98,55 @@ class Index:
         return scored.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= top_k)
 
 
-def build(documents: DataFrame, doc: str, text: str) -> Index:
-    """The index of a corpus. Texts are split once; postings, documents and terms are written, for they are read several times."""
-    postings = stored(postings_of(documents, doc, text))
-    docs = stored(lengths_of(documents, postings, doc))
+def _weighed(docs: DataFrame, postings: DataFrame, sums: DataFrame) -> Index:
+    """An index of written tables: weights of terms are a projection of their sums."""
     size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("average")).first()
     n, average = size["n"], float(size["average"] or 0.0)
-    terms = informativeness(postings, n).withColumn("idf", idf(F.col("df"), n))
-    terms = stored(terms)
+    terms = informativeness(sums, n).withColumn("idf", idf(F.col("df"), n))
     top = float(terms.agg(F.max("idf")).first()[0] or 1.0)
     terms = terms.withColumn("gamma", F.col("idf") / top).withColumn("eidf", F.col("idf") * (1 + F.col("gamma") * F.col("info")))
-    return Index(docs, postings, terms, n, average, top)
+    return Index(docs, postings, terms, n, average, top, sums)
+
+
+def build(documents: DataFrame, doc: str, text: str) -> Index:
+    """The index of a corpus. Texts are split once; postings, documents and sums of terms are written, for they are read several times."""
+    postings = stored(postings_of(documents, doc, text))
+    return _weighed(stored(lengths_of(documents, postings, doc)), postings, stored(term_sums(postings)))
+
+
+def update(index: Index, doc: str, text: str, added: DataFrame | None = None, removed: DataFrame | None = None) -> Index:
+    """The index after documents have gone (ids ``doc`` of ``removed``) and come (``added``; an id that is there is replaced).
+
+    Only the added texts are split and written. Postings are the old ones without the changed documents and
+    the new ones beside them; only sums of terms that a changed document holds are computed again, and every
+    term's weight follows from its sums and the new number of documents, so none is stale. Each update adds a
+    filter to the postings' plan: ``compact`` after some tens of them. An id that comes twice in ``added``
+    or is null there raises; ids of ``removed`` that aren't in the index are passed over.
+    """
+    ids = [df.select(F.col(doc).alias("doc")) for df in (added, removed) if df is not None]
+    if not ids:
+        return index
+    if added is not None:
+        wrong = added.groupBy(F.col(doc).alias("doc")).count().filter("count > 1 OR doc IS NULL").limit(1).collect()
+        if wrong:
+            raise ValueError(f"an id is added twice or null: {wrong[0]['doc']!r}")
+    gone = stored((ids[0].union(ids[1]) if len(ids) == 2 else ids[0]).distinct())
+    left = lambda df: df.join(gone, "doc", "left_anti")
+    postings, docs, touched = left(index.postings), left(index.docs), index.postings.join(gone, "doc", "left_semi").select("term")
+    if added is not None:
+        new = stored(postings_of(added, doc, text))
+        postings, touched = postings.unionByName(new), touched.union(new.select("term"))
+        docs = docs.unionByName(lengths_of(added, new, doc))
+    touched = stored(touched.distinct())
+    sums = index.sums.join(touched, "term", "left_anti").unionByName(term_sums(postings.join(touched, "term", "left_semi")))
+    return _weighed(stored(docs), postings, stored(sums))
+
+
+def compact(index: Index) -> Index:
+    """The same index with its postings written as one table."""
+    return replace(index, postings=stored(index.postings))
 
 
 def keywords(index: Index, top_k: int = 10) -> DataFrame:
     return index.terms.select("term", (F.col("eidf") * F.sqrt("df")).alias("weight")).orderBy(F.desc("weight"), "term").limit(top_k)
 
-
-def apply_delta(documents: DataFrame, added: DataFrame, removed: DataFrame, doc: str) -> DataFrame:
-    """The corpus after an update: ``removed`` ids and replaced ids go, ``added`` rows come. Statistics are then exact, none is stale."""
-    gone = removed.select(doc).union(added.select(doc)).distinct()
-    return documents.join(gone, doc, "left_anti").unionByName(added)

@@ -89,10 +89,40 @@ def test_index_equals_kernel(spark, monkeypatch):
         assert np.allclose([rank[i] for i in range(30)], want / want.max(), atol=1e-6)
 
 
-def test_update_of_the_corpus(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "i long, t string")
-    got = index.apply_delta(df, spark.createDataFrame([(2, "bb"), (4, "d")], df.schema), spark.createDataFrame([(3, "")], df.schema), "i")
-    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "bb"), (4, "d")]
+def test_updated_index_equals_a_new_one(spark):
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choice("red green blue cyan pink grey teal gold rust".split()) for _ in range(rng.randint(0, 30)))
+    rows = {i: text() for i in range(60)}
+    table = lambda d: spark.createDataFrame(list(d.items()), "i long, t string")
+    own = index.build(table(rows), "i", "t")
+    for k in range(3):
+        gone, new = rng.sample(sorted(rows), 9) + [999], {**{i: text() for i in rng.sample(sorted(rows), 4)}, 100 + k: "unseen words here", 200 + k: "", 300 + k: None}
+        own = index.update(own, "i", "t", table(new), table(dict.fromkeys(gone, "")))
+        rows = {**{i: t for i, t in rows.items() if i not in gone}, **new}
+        if k == 1:
+            own = index.compact(own)
+    want = index.build(table(rows), "i", "t")
+    assert (own.n, own.average, own.idf_max) == (want.n, want.average, pytest.approx(want.idf_max)) and own.n == len(rows)
+    for one, other in zip((own.docs, own.postings), (want.docs, want.postings)):
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
+    got, new = ({r.term: tuple(r[1:]) for r in x.terms.collect()} for x in (own, want))
+    assert got.keys() == new.keys() and all(np.allclose(got[t], new[t]) for t in got)
+    asked = spark.createDataFrame([(0, "red words gold")], "q long, t string")
+    found = [[(r.doc, round(r.score, 9)) for r in x.search(asked, "q", "t").orderBy("rank").collect()] for x in (own, want)]
+    assert found[0] == found[1]
+
+
+def test_updates_that_empty_or_do_nothing(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "b")], "i long, t string")
+    own = index.build(df, "i", "t")
+    assert index.update(own, "i", "t") is own
+    empty = index.update(own, "i", "t", removed=df)
+    assert empty.n == 0 and empty.terms.count() == 0 and empty.postings.count() == 0
+    again = index.update(empty, "i", "t", added=df)
+    assert again.n == 2 and {r.term: r.df for r in again.terms.collect()} == {"a": 1, "b": 2}
+    for bad in ([(3, "x"), (3, "y")], [(None, "x")]):
+        with pytest.raises(ValueError, match="twice or null"):
+            index.update(own, "i", "t", added=spark.createDataFrame(bad, df.schema))
 
 
 def test_segments_equal_the_kernel(spark):
