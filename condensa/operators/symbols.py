@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 
 SYMBOL = "path string, language string, name string, kind string, type string, line long, endLine long, column long"
-#: A file over this size has no summary.
-SUMMARY_BYTES = 256 << 10
 
 
 def _table(files: DataFrame, schema: str, rows_of) -> DataFrame:
@@ -52,8 +50,9 @@ def summary(table: DataFrame) -> DataFrame:
     return parts.select("path", F.array_join(F.transform("c", lambda x: _plural(x["type"], x["n"])), ", ").alias("summary"))
 
 
-def file_summary(files: DataFrame) -> DataFrame:
-    return summary(symbols(files.filter(F.length("text") <= SUMMARY_BYTES)))
+def file_summary(files: DataFrame, longest: int | None = None) -> DataFrame:
+    """The summary of each file; with ``longest`` none of files over that many characters."""
+    return summary(symbols(files if longest is None else files.filter(F.length("text") <= longest)))
 
 
 def find(table: DataFrame, name: str, near: int | None = None) -> DataFrame:

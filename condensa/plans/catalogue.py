@@ -89,6 +89,14 @@ def index_stats(spark, d):
     return _index(spark, d).stats()
 
 
+def index_update(spark, d):
+    """The terms of an index from which toxic documents went and to which the benchmark came."""
+    gone = _t(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    new = _t(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
+    own = index.update(_index(spark, d), "doc_id", "text", new, gone)
+    return _round(own.terms.select("term", "df", "cf", "idf", "info", "eidf"), "idf", "info", "eidf")
+
+
 def _asked(spark) -> DataFrame:
     return spark.createDataFrame([(0, QUERY)], "q long, t string")
 
@@ -265,55 +273,46 @@ def json_compress(spark, d):
     return bodies.select("conv_id", run("body").alias("out"))
 
 
-_SOURCE = '''import os
-from typing import Any
-
-LIMIT = 10
-
-
-class Store:
-    """Keeps things."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.items = []
-
-    def add(self, item: Any) -> bool:
-        if len(self.items) >= self.size:
-            return False
-        self.items.append(item)
-        return True
-
-    def _shrink(self):
-        while len(self.items) > self.size:
-            self.items.pop()
+def _sources(spark, d) -> DataFrame:
+    """A source file a user, in one of three languages, with a definition for each of the user's events: (path, language, n, text)."""
+    own = _t(spark, d, "events").groupBy("user_id").agg(F.count("*").cast("long").alias("n"), F.sort_array(F.collect_list("event_id")).alias("ids"))
 
+    def file(ending: str, head: str, part: str, tail: str):
+        """Text with the user's name in the head and tail, and each event's in its part."""
+        parts = F.array_join(F.transform("ids", lambda e: F.replace(F.lit(part), F.lit("{}"), e.cast("string"))), "")
+        whole = F.concat(F.replace(F.lit(head), F.lit("{}"), F.col("user_id").cast("string")), parts, F.replace(F.lit(tail), F.lit("{}"), F.col("user_id").cast("string")))
+        return F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(ending)).alias("path"), whole.alias("text"))
 
-def main():
-    store = Store(LIMIT)
-    for name in os.listdir("."):
-        store.add(name)
-    return store
+    python = file(".py", "import os\n\n\nclass User{}:\n", "    def e{}(self, x):\n        y = x\n        return y\n", "\n\ndef main():\n    return User{}()\n")
+    script = file(".js", "export class User{} { }\n", "function e{}(x) {\n  return x;\n}\n", "")
+    notes = file(".md", "# User {}\n", "## {}\n```python\nx = 1\n```\n", "")
+    kind = F.col("user_id") % 3
+    return own.select("n", F.when(kind == 0, python).when(kind == 1, script).otherwise(notes).alias("f")).select("f.path", entries.language_of(F.col("f.path")).alias("language"), "n", "f.text")
 
 
-if __name__ == "__main__":
-    main()
-'''
+def stack_select(spark, d):
+    """A trace a user, whose frames are the user's events, in 600 characters."""
+    frame = lambda e: F.format_string('  File "%s/m%d.py", line %d, in f%d\n    call()', F.when(e % 4 == 0, "/x/site-packages").otherwise("/app"), e % 50, e, e)
+    own = _t(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    trace = F.concat(F.lit("Traceback (most recent call last):\n"), F.array_join(F.transform("ids", frame), "\n"), F.lit("\nValueError: error: bad"))
 
+    @F.pandas_udf("string")
+    def run(x):
+        return x.map(lambda t: codecs.compress_stack(t, 600))
 
-def _files(spark) -> DataFrame:
-    rows = [("a.py", _SOURCE), ("b.js", "export function go(x) {\n  return x;\n}\nexport class Thing {}\nconst f = (a) => a;\n"), ("c.md", "# Title\n\n```python\nx = 1\n```\n## Next\n"), ("d.unknown", "text")]
-    own = spark.createDataFrame(rows, "path string, text string")
-    return own.select("path", entries.language_of(F.col("path")).alias("language"), "text")
+    return own.select("user_id", run(trace).alias("out"))
 
 
 def source_compress(spark, d):
-    rows = [(b, codecs.compress_source(_SOURCE * 4, b, "store add")) for b in (300, 900)]
-    return spark.createDataFrame(rows, "budget long, out string")
+    @F.pandas_udf("string")
+    def run(x):
+        return x.map(lambda t: codecs.compress_source(t, 400, "main"))
+
+    return _sources(spark, d).select("path", run("text").alias("out"))
 
 
 def source_structured(spark, d):
-    own = symbols.outlines(_files(spark)).filter("structure IS NOT NULL")
+    own = symbols.outlines(_sources(spark, d)).filter("structure IS NOT NULL")
 
     @F.pandas_udf("string")
     def run(t, s):
@@ -325,21 +324,28 @@ def source_structured(spark, d):
 
 
 def symbols_defs(spark, d):
-    return symbols.definitions(symbols.symbols(_files(spark))).select("path", "name", "type", "line")
+    return symbols.definitions(symbols.symbols(_sources(spark, d))).select("path", "name", "type", "line")
 
 
 def symbol_summary(spark, d):
-    return symbols.file_summary(_files(spark))
+    return symbols.file_summary(_sources(spark, d))
 
 
 def scope_bindings(spark, d):
-    own = _files(spark)
+    own = _sources(spark, d)
     lines = symbols.symbols(own).select("path", "line", "name")
     return symbols.innermost(lines, symbols.scopes(own)).select("path", "line", "name", "scope", "scope_name")
 
 
+def code_injections(spark, d):
+    """Code that stands in Markdown files."""
+    return symbols.injections(_sources(spark, d)).select("path", "embedded", "startLine", "endLine")
+
+
 def syntax_check(spark, d):
-    return symbols.syntax_errors(spark.createDataFrame([("x.py", "python", "def f(:\n  pass\n"), ("y.py", "python", "x = 1\n")], "path string, language string, text string")).select("path", "line")
+    """Files to which a line that no parser takes was added where the number of events is even."""
+    broken = F.concat("text", F.when(F.col("n") % 2 == 0, "def (:\n").otherwise(""))
+    return symbols.syntax_errors(_sources(spark, d).withColumn("text", broken)).select("path", "line")
 
 
 def language_map(spark, d):
@@ -381,11 +387,11 @@ def compress_records(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_topk, search_batch, search_normalized, postings_tf, term_stats, index_stats, keywords, token_estimate, dedup_status, dedup_stats, near_dedup_records,
+        search_topk, search_batch, search_normalized, postings_tf, term_stats, index_stats, index_update, keywords, token_estimate, dedup_status, dedup_stats, near_dedup_records,
         schema_groups, template_detect, template_collapse, sim_edges, degree_centrality, position_prior, query_biased_prior, pagerank_fixed, rank_conversations,
         summarize_docs, sentence_segments, gini, pearson, upper_median_mad, hub_capped, kneedle, tier_cuts, core_select, blended_scores, tier_assign, budget_allocate,
         auto_budget, truncate_adaptive, content_type, log_template_counts, log_severity, log_compress, fold_arrays, route_fields, preset_actions, stack_select,
-        json_compress, source_compress, source_structured, symbols_defs, symbol_summary, scope_bindings, syntax_check, language_map, stream_dedup, event_rollup,
+        json_compress, source_compress, source_structured, symbols_defs, symbol_summary, scope_bindings, code_injections, syntax_check, language_map, stream_dedup, event_rollup,
         compress_documents, compress_records,
     )
 }

@@ -199,6 +199,22 @@ def _route(preset: str) -> str:
     }[preset]
 
 
+# Files of three languages: each event's definition stands at a line that follows from its number in its user's file.
+_SOURCES = """
+WITH e AS (SELECT user_id AS u, user_id % 3 AS kind, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT u, kind, count(*) AS n, 'u' || u || ['.py', '.js', '.md'][kind + 1] AS path FROM e GROUP BY u, kind)
+"""
+_HEAD = "['User' || u, 'User' || u, 'User ' || u][kind + 1]"
+
+# A sentence of fewer than ten characters takes the next one in. Parts are joined by one control character, sentences by another.
+_SENTENCES = r"""
+WITH a AS (SELECT doc_id AS doc, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '') AS lines FROM documents),
+b AS (SELECT doc, flatten(list_transform(lines, lambda l: string_split(regexp_replace(l, '([.!?])\s+([A-Z"])', '\1' || chr(1) || '\2', 'g'), chr(1)))) AS parts FROM a),
+c AS (SELECT doc, list_reduce(parts, lambda done, x: done || CASE WHEN length(string_split(done, chr(2))[-1]) < 10 THEN ' ' ELSE chr(2) END || x) AS done FROM b WHERE len(parts) > 0),
+d AS (SELECT doc, string_split(done, chr(2)) AS s FROM c)
+SELECT doc, CAST(i - 1 AS INTEGER) AS idx, s[i] AS sentence FROM (SELECT doc, s, unnest(range(1, len(s) + 1)) AS i FROM d)
+"""
+
 ORACLE_SQL = {
     "token_estimate": r"""SELECT doc_id, CAST(greatest(1, CASE WHEN text LIKE '{%' OR text LIKE '[%' THEN length(text) // 2 ELSE length(text) // 4 END) AS BIGINT) AS tokens,
       CAST(greatest(1, (length(text) + 2 + length(regexp_replace(text, '[^"\\\n\r\t\x08\x0c]', '', 'g')) + 5 * length(regexp_replace(text, '[^\x00-\x07\x0b\x0e-\x1f]', '', 'g'))
@@ -245,10 +261,19 @@ ORACLE_SQL = {
     "route_fields": """SELECT event_id, path, action FROM events CROSS JOIN (VALUES ('payload.output', 'truncate'), ('payload.status', 'passthrough'), ('reasoning', 'preserve'), ('log.stderr', 'truncate')) f(path, action)""",
     "preset_actions": f"SELECT page_id, {_route('aggressive')} AS aggressive, {_route('codex_logs')} AS codex_logs, {_route('generic')} AS generic, {_route('mcp_responses')} AS mcp_responses FROM pages",
     "language_map": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'rust' END AS language FROM pages",
-    "symbols_defs": "SELECT * FROM (VALUES ('a.py', 'LIMIT', 'variable', 4), ('a.py', 'Store', 'class', 7), ('a.py', '__init__', 'method', 10), ('a.py', 'add', 'method', 14), ('a.py', '_shrink', 'method', 20), ('a.py', 'main', 'function', 25), ('b.js', 'go', 'function', 1), ('b.js', 'Thing', 'class', 4), ('b.js', 'f', 'function', 5), ('c.md', 'Title', 'heading', 1), ('c.md', 'Next', 'heading', 6)) v(path, name, type, line)",
-    "symbol_summary": "SELECT * FROM (VALUES ('a.py', '1 class, 1 function, 3 methods, 1 variable'), ('b.js', '1 class, 2 functions'), ('c.md', '2 headings')) v(path, summary)",
-    "syntax_check": "SELECT 'x.py' AS path, CAST(1 AS BIGINT) AS line",
+    "symbols_defs": _SOURCES + f"""SELECT path, {_HEAD} AS name, ['class', 'class', 'heading'][kind + 1] AS type, CAST([4, 1, 1][kind + 1] AS BIGINT) AS line FROM f
+      UNION ALL SELECT path, CASE kind WHEN 2 THEN '' ELSE 'e' END || event_id, ['method', 'function', 'heading'][kind + 1], CAST([2 + 3 * i, 3 * i - 1, 4 * i - 2][kind + 1] AS BIGINT) FROM e JOIN f USING (u, kind)
+      UNION ALL SELECT path, 'main', 'function', 7 + 3 * n FROM f WHERE kind = 0""",
+    "symbol_summary": _SOURCES + "SELECT path, ['1 class, 1 function, ' || n || ' method', '1 class, ' || n || ' function', (n + 1) || ' heading'][kind + 1] || CASE WHEN n = 1 AND kind < 2 THEN '' ELSE 's' END AS summary FROM f",
+    "scope_bindings": _SOURCES + """, p AS (SELECT * FROM f WHERE kind = 0)
+      SELECT path, CAST(1 AS BIGINT) AS line, 'os' AS name, 'module' AS scope, '' AS scope_name FROM p UNION ALL SELECT path, 4, 'User' || u, 'class', 'User' || u FROM p
+      UNION ALL SELECT path, 2 + 3 * i, 'e' || event_id, 'function', 'e' || event_id FROM e JOIN p USING (u)
+      UNION ALL SELECT path, 7 + 3 * n, 'main', 'function', 'main' FROM p UNION ALL SELECT path, 8 + 3 * n, 'User' || u, 'function', 'main' FROM p""",
+    "code_injections": _SOURCES + "SELECT path, 'python' AS embedded, CAST(4 * i AS BIGINT) AS startLine, CAST(4 * i + 1 AS BIGINT) AS endLine FROM e JOIN f USING (u, kind) WHERE kind = 2",
+    "syntax_check": _SOURCES + "SELECT path, CAST(9 + 3 * n AS BIGINT) AS line FROM f WHERE kind = 0 AND n % 2 = 0",
+    "sentence_segments": _SENTENCES,
+    "index_update": f"""WITH {_corpus("(SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT -1 - item_id, text FROM benchmark)", 'doc_id')}
+      SELECT term, df, cf, round(idf, 6) AS idf, round(info, 6) AS info, round(eidf, 6) AS eidf FROM t""",
     "stream_dedup": "SELECT DISTINCT conv_id, text FROM conversations",
     "event_rollup": "WITH a AS (SELECT user_id, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY user_id) SELECT user_id, events, total, row_number() OVER (ORDER BY events DESC, user_id) AS rank FROM a",
 }
-ORACLE_SQL["symbols_defs"] = ORACLE_SQL["symbols_defs"].replace("SELECT *", "SELECT path, name, type, CAST(line AS BIGINT) AS line", 1)
