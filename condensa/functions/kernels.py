@@ -166,6 +166,10 @@ class Ranking:
     selected: list[int]
     keywords: list[tuple[str, float]]
 
+    def top(self, k: int) -> list[tuple[int, float]]:
+        """The ``k`` best places with their scores, ties to the first."""
+        return [(int(i), float(self.scores[i])) for i in np.argsort(-self.scores, kind="stable")[:k]]
+
 
 def rank(texts: list[str], top_k: int = 5, query: str | None = None) -> Ranking:
     """Centrality of each text (the largest is 1), a covering choice of ``top_k`` and keywords."""

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs
+from ..functions import codecs, outline
 
 SYMBOL = "path string, language string, name string, kind string, type string, line long, endLine long, column long"
 
@@ -22,9 +22,9 @@ def _table(files: DataFrame, schema: str, rows_of) -> DataFrame:
     return files.select("path", "language", "text").mapInPandas(run, schema)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """Definitions and references of files (path, language, text); none for languages that aren't known."""
-    return _table(files, SYMBOL, codecs.symbols)
+def symbols(files: DataFrame, packs: dict[str, outline.Rules] | None = None) -> DataFrame:
+    """Definitions and references of files (path, language, text); none for languages that aren't known. ``packs``: rules of ``outline.load_rules``."""
+    return _table(files, SYMBOL, lambda text, language: codecs.symbols(text, language, packs))
 
 
 def definitions(table: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def find(table: DataFrame, name: str, near: int | None = None) -> DataFrame:
 
 
 def scopes(files: DataFrame) -> DataFrame:
-    return _table(files, "path string, language string, scope string, name string, startLine long, endLine long, bindings array<string>", lambda t, lang: codecs.scopes(t) if lang == "python" else ())
+    return _table(files, "path string, language string, scope string, name string, startLine long, endLine long, bindings array<string>", codecs.scopes)
 
 
 def innermost(points: DataFrame, scope_table: DataFrame) -> DataFrame:

@@ -268,7 +268,8 @@ ORACLE_SQL = {
     "scope_bindings": _SOURCES + """, p AS (SELECT * FROM f WHERE kind = 0)
       SELECT path, CAST(1 AS BIGINT) AS line, 'os' AS name, 'module' AS scope, '' AS scope_name FROM p UNION ALL SELECT path, 4, 'User' || u, 'class', 'User' || u FROM p
       UNION ALL SELECT path, 2 + 3 * i, 'e' || event_id, 'function', 'e' || event_id FROM e JOIN p USING (u)
-      UNION ALL SELECT path, 7 + 3 * n, 'main', 'function', 'main' FROM p UNION ALL SELECT path, 8 + 3 * n, 'User' || u, 'function', 'main' FROM p""",
+      UNION ALL SELECT path, 7 + 3 * n, 'main', 'function', 'main' FROM p UNION ALL SELECT path, 8 + 3 * n, 'User' || u, 'function', 'main' FROM p
+      UNION ALL SELECT path, 1, 'User' || u, 'module', '' FROM f WHERE kind = 1 UNION ALL SELECT path, 3 * i - 1, 'e' || event_id, 'function', 'e' || event_id FROM e JOIN f USING (u, kind) WHERE kind = 1""",
     "code_injections": _SOURCES + "SELECT path, 'python' AS embedded, CAST(4 * i AS BIGINT) AS startLine, CAST(4 * i + 1 AS BIGINT) AS endLine FROM e JOIN f USING (u, kind) WHERE kind = 2",
     "syntax_check": _SOURCES + "SELECT path, CAST(9 + 3 * n AS BIGINT) AS line FROM f WHERE kind = 0 AND n % 2 = 0",
     "sentence_segments": _SENTENCES,

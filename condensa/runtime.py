@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
-    at = sc.getConf().get("spark.checkpoint.dir") or (own.get() if own.isDefined() else None)
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
     if not at:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")

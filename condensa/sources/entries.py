@@ -14,10 +14,11 @@ PAYLOAD = f"struct<content:string,budget:int,structure:{STRUCTURE}>"
 EXTENSIONS = {
     "python": ("py", "pyw", "pyi"), "javascript": ("js", "mjs", "cjs", "jsx"), "typescript": ("ts", "mts", "cts"), "tsx": ("tsx",),
     "rust": ("rs",), "go": ("go",), "java": ("java",), "c": ("c", "h"), "cpp": ("cpp", "cc", "cxx", "hpp", "hxx", "hh"), "csharp": ("cs",),
-    "ruby": ("rb", "rake"), "php": ("php",), "swift": ("swift",), "kotlin": ("kt", "kts"), "scala": ("scala", "sc"), "bash": ("sh", "bash", "zsh"),
-    "sql": ("sql",), "html": ("html", "htm"), "css": ("css",), "scss": ("scss",), "json": ("json",), "yaml": ("yaml", "yml"), "toml": ("toml",),
-    "ini": ("ini",), "markdown": ("md", "markdown"), "lua": ("lua",), "perl": ("pl", "pm"), "r": ("r",), "dart": ("dart",), "elixir": ("ex", "exs"),
+    "ruby": ("rb", "rake", "gemspec"), "php": ("php",), "swift": ("swift",), "kotlin": ("kt", "kts"), "scala": ("scala", "sc"), "bash": ("sh", "bash", "zsh"),
+    "sql": ("sql",), "html": ("html", "htm"), "css": ("css",), "scss": ("scss",), "json": ("json", "jsonc"), "yaml": ("yaml", "yml"), "toml": ("toml",),
+    "ini": ("ini",), "markdown": ("md", "markdown", "mdx"), "lua": ("lua",), "perl": ("pl", "pm"), "r": ("r",), "dart": ("dart",), "elixir": ("ex", "exs"),
     "haskell": ("hs",), "ocaml": ("ml", "mli"), "zig": ("zig",), "vue": ("vue",), "svelte": ("svelte",), "xml": ("xml",), "dockerfile": ("dockerfile",), "proto": ("proto",),
+    "graphql": ("graphql", "gql"), "prisma": ("prisma",), "hcl": ("hcl", "tf"),
 }
 
 
