@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import posixpath
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut, shared_dir  # noqa: F401
+
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
 WORD_BYTE[128:] = True
@@ -30,31 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        current = sc._jsc.sc().getCheckpointDir()
-        at = current.get() if current.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="condensa-")
-        sc.setCheckpointDir(at)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
-    return at
-
-
 def work_dir(spark: SparkSession, what: str) -> str:
     return posixpath.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared folder and cuts its lineage; lost executors lose nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Rows an Arrow batch, where the session has Spark's own default: texts are long, and both sides hold a batch.
 BATCH_ROWS = 1000
 
