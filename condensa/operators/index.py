@@ -81,7 +81,8 @@ class Index:
         """
         asked = queries.select(F.col(query).alias("query"), F.explode(words(text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
         size = asked.groupBy("query").agg(F.count("*").alias("m"))
-        weighed = asked.join(self.terms, "term")
+        # Written, so that its size is known: few asked terms are broadcast and the postings aren't shuffled, many are joined on the term.
+        weighed = stored(asked.join(self.terms, "term"))
         hits = weighed.join(self.postings, "term").join(self.docs, "doc")
         part = F.col("eidf") * self.saturation() * F.col("qtf")
         hits = hits.withColumn("part", part)
@@ -89,6 +90,7 @@ class Index:
         score = F.col("base") + F.col("coverage") / F.col("m") * F.col("information")
         scored = sums.join(size, "query").select("query", "doc", score.alias("score"))
         if normalize:
+            scored = stored(scored)
             best = scored.groupBy("query").agg(F.max("score").alias("_top"))
             scored = scored.join(best, "query").select("query", "doc", F.when(F.col("_top") > 0, F.col("score") / F.col("_top")).otherwise(F.col("score")).alias("score"))
         if top_k is None:

@@ -131,7 +131,7 @@ def score(texts: DataFrame, n: int, whole: index.Index | None, options: Options)
     # A sample by hash of the place, ranked as a corpus of its own; retrieval by its core for all.
     sample = cut(texts.orderBy(F.xxhash64("idx"), "idx").limit(SAMPLE))
     places = sample.withColumn("_one", F.lit(1))
-    inner = graph.rank_groups(places, "_one", "idx", "text", 1, options.query).select("idx", F.col("score").alias("central"))
+    inner = cut(graph.rank_groups(places, "_one", "idx", "text", 1, options.query).select("idx", F.col("score").alias("central")))
     core = inner.orderBy(F.desc("central"), "idx").limit(max(3, SAMPLE // CORE_PART)).join(sample, "idx")
     excerpt = " ".join(r["t"] for r in core.orderBy(F.desc("central"), "idx").select(F.substring("text", 1, EXCERPT).alias("t")).collect())
     asked = f"{options.query} {excerpt[:QUERY_CORE]}" if options.query else excerpt[:CORE_TEXT]
