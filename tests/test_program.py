@@ -3,10 +3,12 @@ import random
 import subprocess
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
 import __spark_entry__ as driver
+from condensa import runtime
 from condensa.functions.register import register
 from condensa.plans.compress import Options, compress, report
 from condensa.sources import entries
@@ -158,6 +160,14 @@ def test_exact_and_near_forms_are_bounded_apart(spark, tmp_path):
     assert [r.n for r in got] == [0, 3]
 
 
+def test_no_machine_local_folder_on_a_cluster(spark):
+    unset = SimpleNamespace(get=lambda *_: None)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    sc = SimpleNamespace(_jsc=jsc, getConf=lambda: unset, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        runtime.shared_dir(SimpleNamespace(sparkContext=sc, conf=unset))
+
+
 def test_sql_names(spark):
     assert "condensa_compress" in register(spark)
     assert len(spark.sql("SELECT condensa_compress(repeat('word ', 100), 60) AS x").first().x) <= 60
