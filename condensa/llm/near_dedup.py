@@ -66,9 +66,10 @@ def shingle_idf(docs: DataFrame, idf_share: float) -> Idf:
                     held, documents, size = [], 0, 0
         yield common()
 
-    # Unreported counts sum to under idf_share / 2 * n, so the common are among these, which are few.
+    # Unreported counts sum to under idf_share / 2 * n, so the common are among these: up to 2 / idf_share times a document's
+    # mean number of shingles, which in a small table are all. They come as Arrow columns, since rows of Python objects take many times that.
     reported = map_arrow(texts, report, "x long, c long").groupBy("x").agg(F.sum("c").alias("c")).filter(F.col("c") >= idf_share / 2 * n)
-    candidates = np.sort(np.array([r.x for r in reported.select("x").collect()], dtype=np.int64).view(np.uint64))
+    candidates = np.sort(reported.select("x").toArrow().column("x").to_numpy().view(np.uint64))
     if not len(candidates):
         return Idf(candidates, np.zeros(0), max(n, 1), idf_share)
     finder = docs.sparkSession.sparkContext.broadcast(Idf(candidates, np.ones(len(candidates)), n, idf_share))
@@ -95,9 +96,11 @@ def shingle_idf(docs: DataFrame, idf_share: float) -> Idf:
 
     # Many copies of a text are one pair a task before they are shuffled.
     df, raw = np.zeros(len(candidates), np.int64), map_arrow(texts, count, "i long, origin long")
-    for r in raw.distinct().groupBy("i").count().collect():
-        df[r["i"]] = r["count"]
-    return Idf(candidates, df, n, idf_share)
+    counts = raw.distinct().groupBy("i").count().toArrow()
+    df[counts.column("i").to_numpy()] = counts.column("count").to_numpy()
+    # All others weigh the bound.
+    keep = n / np.maximum(df, 1) < 1 / idf_share
+    return Idf(candidates[keep], df[keep], n, idf_share)
 
 
 def signatures(docs: DataFrame, idf: Idf, bands: int, rows: int) -> DataFrame:
@@ -260,7 +263,8 @@ def _links_across(members: DataFrame, labels: DataFrame, own: DataFrame, texts:
     sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")).filter("labels > 1")
     mixed = cut(mixed.select("bucket", "n", F.col("top.label").alias("large"), F.ceil(F.col("top.n") / block_rows).alias("large_blocks"), F.ceil((F.col("n") - F.col("top.n")) / block_rows).alias("small_blocks")))
-    rows = labelled.join(mixed.drop("n"), "bucket").join(own, "doc")
+    # Read some eight times below, so written once: else each plan holds its joins as often.
+    rows = cut(labelled.join(mixed.drop("n"), "bucket").join(own, "doc"))
     within = lambda n: F.pmod(F.xxhash64("doc"), n)
     small, large = rows.filter("label <> large"), rows.filter("label = large")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -292,8 +296,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 9, ro
     idf = shingle_idf(docs, idf_share)
     signed = cut(signatures(docs, idf, bands, rows))
     copies = cut(signed.filter("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    owned = signed.join(copies, "text_key", "left").withColumn("first", F.coalesce("first", "doc_id"))
-    member = cut(owned.select("doc_id", "first"))
+    owned = cut(signed.join(copies, "text_key", "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"), "bands", "samples"))
+    member = owned.select("doc_id", "first")
     own = owned.filter("doc_id = first").select(F.col("doc_id").alias("doc"), "bands", "samples")
     buckets = own.select("doc", F.explode("bands").alias("bucket"))
     shared = cut(buckets.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n"))

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -107,6 +108,17 @@ def test_idf_counts_texts_of_all_documents(spark):
     assert all(np.isclose(weights.get(x, idf.rare), 1 + np.log(21)) for x in counted(own(0))[0].tolist())
 
 
+def test_driver_holds_the_table_of_frequencies_as_columns(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}w{j}" for j in range(4000)) + " one two three four five") for i in range(30)], "doc_id long, text string")
+    tracemalloc.start()
+    idf = shingle_idf(docs, 0.05)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 30 * 4000
+    # Only what is in a share of 0.05 of the documents, for all else weighs the same.
+    assert idf.shingles.tolist() == counted("one two three four five")[0].tolist()
+
+
 def test_a_common_passage_links_no_different_texts(spark):
     rng = random.Random(2)
     passage = " ".join(f"licence{i}" for i in range(90))
